@@ -42,3 +42,33 @@ def by_category(counts: DataFrame, categories: dict[str, str] | None = None,
     aggs = [F.coalesce(F.sum(F.when(F.col("reduces").contains(word), F.col("n"))), F.lit(0)).cast("long").alias(name)
             for name, word in categories.items()]
     return counts.groupBy(*keys).agg(*aggs)
+
+
+def category_counts(rows: Sequence[tuple[str, str, str, str]], categories: dict[str, str] | None = None,
+                    editor: str = "editor", text: str = "key_string") -> dict[str, F.Column]:
+    """Per-run category totals as column expressions, for an in-memory
+    catalogue: the sum of ``regexp_count`` over the commands of the run's
+    editor whose ``reduces`` contains the category word (0 when none).
+
+    Same numbers as :func:`count_commands` + :func:`by_category`, without a
+    join, so a run table can be extended in place instead of being joined
+    back to its own aggregate.
+    """
+    if len(rows) > MAX_BROADCAST_ROWS:
+        raise ValueError("catalogue too large for column expressions; use count_commands")
+    categories = categories or {"del_commands": "Delete", "nav_commands": "Navigation"}
+    out = {}
+    for name, word in categories.items():
+        per_editor: dict[str, list[str]] = {}
+        for ed, _cid, pattern, reduces in rows:
+            if word in reduces:
+                per_editor.setdefault(ed, []).append(pattern)
+        expr = F.lit(0).cast("long")
+        for ed, pats in per_editor.items():
+            total = None
+            for p in pats:
+                c = F.regexp_count(F.col(text), F.lit(p)).cast("long")
+                total = c if total is None else total + c
+            expr = F.when(F.col(editor) == ed, total).otherwise(expr)
+        out[name] = expr
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanflow.functions.metrics import MAX_TASK_S, MIN_TASK_S
-from spanflow.operators.commands import by_category, catalogue_frame, count_commands
+from spanflow.operators.commands import catalogue_frame, category_counts, count_commands
 from spanflow.operators.features import (LOCAL_ZONE, add_calendar, add_log_penalties, add_task_flags,
                                          add_usage_flags,
                                          duration_range, fill_numeric, join_people)
@@ -67,13 +67,12 @@ def run_metrics(spark: SparkSession, sf_dir: str, mode: str = "all") -> DataFram
     """Run penalties with the canonical names used downstream and command totals."""
     k = load_key_events(spark, sf_dir)
     rp = cleaning.run_penalties(k, mode)
-    cats = by_category(command_counts(spark, rp.select(*RUN_KEYS, "key_string")))
-    return rp.join(cats, on=RUN_KEYS, how="left")
+    return rp.withColumns(category_counts(COMMANDS))
 
 
 def run_metrics_ctes(mode: str = "all") -> str:
     return oracle.run_penalties_ctes(mode) + command_sql_ctes() + """,
-    rm AS (SELECT rp.*, cat.del_commands, cat.nav_commands
+    rm AS (SELECT rp.*, coalesce(cat.del_commands, 0) AS del_commands, coalesce(cat.nav_commands, 0) AS nav_commands
            FROM rp LEFT JOIN cat ON rp.user_id = cat.user_id AND rp.editor = cat.editor
                                  AND rp.task_runs = cat.task_runs)"""
 

@@ -9,11 +9,16 @@ from pyspark.sql import SparkSession
 
 # Settings every job relies on.  The time zone is pinned because calendar
 # features and timestamp casts depend on it; AQE re-plans joins from runtime
-# sizes and splits skewed join partitions.
+# sizes (broadcast only what was measured small) and splits skewed join
+# partitions.  The run stage expands every shuffled run row into events,
+# matches and markers and sorts them three times, so its cost per shuffled
+# byte is high: coalescing must not merge small shuffles into a single task
+# (the minimum partition size only matters for tiny inputs).
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
