@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -15,3 +16,159 @@ def regression_metrics(df: DataFrame, pred: str, label: str, group: Sequence[str
     aggs = [F.sqrt(F.avg(e * e)).alias("rmse"), F.pow(F.corr(pred, label), 2).alias("rsquared"),
             F.avg(F.abs(e)).alias("mae"), F.count(F.lit(1)).alias("n")]
     return df.groupBy(*group).agg(*aggs) if group else df.agg(*aggs)
+
+
+# ---------------------------------------------------------------------------
+# Models.  Fits are Spark ML estimators; the driver only sees parameters,
+# coefficients and metrics, never the rows.
+
+from pyspark import StorageLevel  # noqa: E402
+from pyspark.ml import Pipeline  # noqa: E402
+from pyspark.ml.evaluation import RegressionEvaluator  # noqa: E402
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler  # noqa: E402
+from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor,  # noqa: E402
+                                   GeneralizedLinearRegression, LinearRegression)
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder  # noqa: E402
+
+# Cross-validation folds and repeats, sampling seed, and the
+# split-criterion grid 0.10, 0.15, ..., 0.95 used for the tree models.
+CV_FOLDS = 10
+CV_REPEATS = 5
+SEED = 2018
+TREE_GRID = [round(0.10 + 0.05 * i, 2) for i in range(18)]
+# Spark's normal-equation solver accepts at most this many features.
+NORMAL_SOLVER_MAX = 4096
+
+
+def feature_pipeline(numeric: Sequence[str], categorical: Sequence[str], out: str = "features") -> Pipeline:
+    """Index and one-hot encode the categorical columns (unseen levels map to
+    an extra bucket) and assemble them with the numeric ones."""
+    idx = [f"{c}__idx" for c in categorical]
+    ohe = [f"{c}__ohe" for c in categorical]
+    stages = [StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep"),
+              OneHotEncoder(inputCols=idx, outputCols=ohe, handleInvalid="keep"),
+              VectorAssembler(inputCols=list(numeric) + ohe, outputCol=out, handleInvalid="keep")]
+    return Pipeline(stages=stages)
+
+
+def feature_names(df: DataFrame, col: str = "features") -> list[str]:
+    """Slot names of an assembled vector column (from its ML attributes)."""
+    meta = df.schema[col].metadata.get("ml_attr", {})
+    slots = []
+    for group in meta.get("attrs", {}).values():
+        slots.extend(group)
+    return [a.get("name", str(a["idx"])) for a in sorted(slots, key=lambda a: a["idx"])]
+
+
+def repeated_cv(estimator, grid, df: DataFrame, label: str, folds: int = CV_FOLDS,
+                repeats: int = CV_REPEATS, seed: int = SEED, parallelism: int = 4,
+                metric: str = "rmse"):
+    """``repeats`` k-fold cross-validations with different fold seeds.
+
+    Returns ``(best_param_map, table)`` where ``table`` lists every grid point
+    with its metric averaged over all folds of all repeats.
+    """
+    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
+    sums = [0.0] * len(grid)
+    for r in range(repeats):
+        cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
+                            seed=seed + r, parallelism=parallelism)
+        m = cv.fit(df)
+        sums = [s + a for s, a in zip(sums, m.avgMetrics)]
+    means = [s / repeats for s in sums]
+    best = min(range(len(grid)), key=lambda i: means[i]) if ev.isLargerBetter() is False else \
+        max(range(len(grid)), key=lambda i: means[i])
+    rows = [({p.name: v for p, v in g.items()}, means[i]) for i, g in enumerate(grid)]
+    return grid[best], rows
+
+
+def tree_grid(dt: DecisionTreeRegressor, values: Sequence[float] = TREE_GRID):
+    """Grid over ``minInfoGain`` (a variance-reduction threshold; the closest
+    Spark counterpart of a split-acceptance criterion)."""
+    return ParamGridBuilder().addGrid(dt.minInfoGain, list(values)).build()
+
+
+def fit_tree(train: DataFrame, label: str, features: str = "features", **params):
+    dt = DecisionTreeRegressor(featuresCol=features, labelCol=label, seed=SEED, **params)
+    return dt.fit(train)
+
+
+def fit_gbt(train: DataFrame, label: str, features: str = "features", max_iter: int = 50,
+            max_depth: int = 3, step_size: float = 0.3, subsampling_rate: float = 1.0):
+    gbt = GBTRegressor(featuresCol=features, labelCol=label, maxIter=max_iter, maxDepth=max_depth,
+                       stepSize=step_size, subsamplingRate=subsampling_rate, seed=SEED)
+    return gbt.fit(train)
+
+
+def fit_poisson_enet(train: DataFrame, label: str, features: str = "features", alpha: float = 0.5,
+                     lam: float = 0.01, max_iter: int = 25, tol: float = 1e-6):
+    """Poisson regression with elastic-net penalty on ``round(label)``.
+
+    Iteratively reweighted least squares: every iteration fits a weighted
+    elastic-net linear regression of the working response ``z = eta + (y -
+    mu) / mu`` with weights ``mu`` and rescales the penalty so it applies to
+    the mean Poisson deviance.  Up to ``NORMAL_SOLVER_MAX`` features the step
+    uses the normal-equation solver: one distributed pass aggregates the
+    weighted Gram matrix, and the elastic-net problem on it is solved on the
+    driver (p x p numbers, independent of the row count).  Wider feature
+    vectors use L-BFGS/OWL-QN passes over the data.  Returns ``(intercept,
+    coefficients, iterations)``.
+    """
+    base = train.select(F.bround(F.col(label), 0).cast("double").alias("_y"), F.col(features).alias("_x"))
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n, ybar = base.agg(F.count(F.lit(1)), F.avg("_y")).first()
+        p = base.select(F.col("_x")).first()[0].size if n else 0
+        solver = "normal" if p <= NORMAL_SOLVER_MAX else "l-bfgs"
+        intercept, coef = float(math.log(max(ybar, 1e-8))), None
+        dev_prev = None
+        it = 0
+        for it in range(1, max_iter + 1):
+            eta = _linear_predictor(base, intercept, coef)
+            mu = F.exp(F.least(eta, F.lit(30.0)))
+            work = base.select("_x", "_y", mu.alias("_mu"), eta.alias("_eta"))
+            work = work.select("_x", "_y", F.greatest(F.col("_mu"), F.lit(1e-10)).alias("_w"),
+                               (F.col("_eta") + (F.col("_y") - F.col("_mu")) / F.greatest(F.col("_mu"), F.lit(1e-10))).alias("_z"))
+            sw = work.agg(F.sum("_w")).first()[0]
+            lr = LinearRegression(featuresCol="_x", labelCol="_z", weightCol="_w", elasticNetParam=alpha,
+                                  regParam=lam * n / sw, standardization=True, fitIntercept=True, maxIter=100,
+                                  tol=1e-7, solver=solver)
+            m = lr.fit(work)
+            intercept, coef = float(m.intercept), [float(c) for c in m.coefficients]
+            eta = _linear_predictor(base, intercept, coef)
+            dev = base.select((F.exp(F.least(eta, F.lit(30.0))) - F.col("_y") * eta).alias("d")).agg(F.avg("d")).first()[0]
+            if dev_prev is not None and abs(dev_prev - dev) <= tol * (abs(dev) + 0.1):
+                break
+            dev_prev = dev
+        return intercept, coef, it
+    finally:
+        base.unpersist()
+
+
+def _linear_predictor(df: DataFrame, intercept: float, coef):
+    """``intercept + x . coef`` on an ML vector column, with built-in functions."""
+    if coef is None:
+        return F.lit(intercept)
+    from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array(F.col("_x"))
+    c = F.array(*[F.lit(float(v)) for v in coef])
+    dot = F.aggregate(F.zip_with(arr, c, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    return F.lit(intercept) + dot
+
+
+def poisson_predict(df: DataFrame, intercept: float, coef, features: str = "features",
+                    out: str = "prediction") -> DataFrame:
+    x = df.withColumn("_x", F.col(features))
+    return x.withColumn(out, F.exp(_linear_predictor(x, intercept, coef))).drop("_x")
+
+
+def fit_poisson_l2(train: DataFrame, label: str, features: str = "features", lam: float = 0.01):
+    """The alpha = 0 case with Spark's own GLM (used as a cross-check)."""
+    glr = GeneralizedLinearRegression(family="poisson", link="log", featuresCol=features, labelCol="_y",
+                                      regParam=lam, maxIter=50)
+    return glr.fit(train.withColumn("_y", F.bround(F.col(label), 0).cast("double")))
+
+
+def importance_table(spark, names: Sequence[str], values: Sequence[float], model: str):
+    rows = [(model, n, float(v)) for n, v in zip(names, values)]
+    return spark.createDataFrame(rows, "model string, feature string, importance double")

@@ -455,6 +455,18 @@ def csv_roundtrip_q(spark, sf_dir):
     return files.read_csv(spark, path, schema="r_regionkey int, r_name string")
 
 
+
+
+# --- streaming ----------------------------------------------------------------------
+
+@register("stream_task_runs", "WITH " + oracle.runs_ctes() + """
+    SELECT user_id, editor, first_us, last_us, n_events, key_string FROM runs""")
+def stream_task_runs_q(spark, sf_dir):
+    """The task-run rule as a Structured Streaming query over the events folder."""
+    from spanflow.streaming import stream_runs_to_table
+    return stream_runs_to_table(spark, sf_dir)
+
+
 def queries() -> dict[str, Builder]:
     from spanflow.plans import models  # noqa: F401  (registers the model queries)
     return dict(QUERIES)
