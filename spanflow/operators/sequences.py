@@ -35,3 +35,10 @@ def ordered_concat(df: DataFrame, keys: Sequence[str] = RUN_KEYS, order: Sequenc
         F.min(t).alias("first_us"),
         F.max(t).alias("last_us"),
     )
+
+
+def attach_runs(events: DataFrame, runs: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+    """Left join of run attributes to every event of the run (1:N).  Both
+    sides are keyed by the run, so an events frame already partitioned by run
+    is not shuffled again."""
+    return events.join(runs, on=list(keys), how="left")

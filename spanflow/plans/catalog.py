@@ -187,13 +187,15 @@ def ordered_concat_q(spark, sf_dir):
 
 
 @register("ordered_concat_events", """
-    SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS key_string,
+    SELECT user_id, CAST(ts AS DATE) AS day, string_agg(event_type, ',' ORDER BY ts, event_id) AS key_string,
            count(event_type) AS n_events, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us
-    FROM events GROUP BY user_id""")
+    FROM events GROUP BY user_id, CAST(ts AS DATE)""")
 def ordered_concat_events_q(spark, sf_dir):
+    """Event types of each user and day joined in time order (a day bounds
+    the group; a user's whole history would be one unbounded row)."""
     ev = read_table(spark, sf_dir, "events")
-    ev = ev.withColumn("t_us", epoch_us("ts", ev.schema["ts"].dataType))
-    return ordered_concat(ev, ["user_id"], ("t_us", "event_id"), "event_type", sep=",")
+    ev = ev.withColumns({"t_us": epoch_us("ts", ev.schema["ts"].dataType), "day": F.to_date("ts")})
+    return ordered_concat(ev, ["user_id", "day"], ("t_us", "event_id"), "event_type", sep=",")
 
 
 @register("distinct_strata", "WITH " + oracle.runs_ctes() + "\n    SELECT DISTINCT user_id, editor FROM k")
@@ -457,6 +459,37 @@ def csv_roundtrip_q(spark, sf_dir):
 
 
 
+@register("attach_runs", "WITH " + oracle.runs_ctes() + """
+    SELECT e.user_id, e.editor, e.task_runs, e.seq, e.key_event, r.n_events, length(r.key_string) AS run_length
+    FROM ev e LEFT JOIN runs r ON e.user_id = r.user_id AND e.editor = r.editor AND e.task_runs = r.task_runs""")
+def attach_runs_q(spark, sf_dir):
+    """Run attributes attached to every event of the run (1:N left join)."""
+    from spanflow.operators.sequences import attach_runs
+    ev = cleaning.run_events(K(spark, sf_dir))
+    runs = ordered_concat(ev).withColumn("run_length", F.length("key_string"))
+    out = attach_runs(ev, runs.select(*RUN_KEYS, "n_events", "run_length"))
+    return out.select(*RUN_KEYS, "seq", "key_event", "n_events", "run_length")
+
+
+@register("export_feature_sets", "WITH " + runfeatures.model_features_ctes("all") + """
+    SELECT 'all' AS feature_set, user_id, editor, task_runs, penalty_del, penalty_nav FROM mf
+    UNION ALL SELECT 'del', user_id, editor, task_runs, penalty_del, penalty_nav FROM mf WHERE is_in_task_del = 1
+    UNION ALL SELECT 'nav', user_id, editor, task_runs, penalty_del, penalty_nav FROM mf WHERE is_in_task_nav = 1""")
+def export_feature_sets_q(spark, sf_dir):
+    """Write the feature sets (all runs; delete runs; navigation runs) as CSV
+    with a header under the shared checkpoint folder and read them back."""
+    mf = tables.stage(runfeatures.model_features(spark, sf_dir))
+    cols = ["user_id", "editor", "task_runs", "penalty_del", "penalty_nav"]
+    schema = "user_id long, editor string, task_runs long, penalty_del double, penalty_nav double"
+    out = None
+    for name, cond in (("all", F.lit(True)), ("del", F.col("is_in_task_del") == 1), ("nav", F.col("is_in_task_nav") == 1)):
+        path = scratch_path(spark, f"features-{name}-{uuid.uuid4().hex}")
+        files.write_csv(mf.filter(cond).select(*cols), path, header=True)
+        back = files.read_csv(spark, path, schema=schema).select(F.lit(name).alias("feature_set"), *cols)
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
 # --- streaming ----------------------------------------------------------------------
 
 @register("stream_task_runs", "WITH " + oracle.runs_ctes() + """
