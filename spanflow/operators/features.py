@@ -33,8 +33,16 @@ def positive_duration(df: DataFrame, col: str = "task_time") -> DataFrame:
     return df.filter(F.col(col) > 0)
 
 
+# Decimal places kept for derived doubles: microsecond quantities are exact at
+# 6; logs and averages are reported at 9 (engines differ in the last bits of
+# log and of sums taken in a different order).
+MICRO_DIGITS = 6
+REPORT_DIGITS = 9
+
+
 def add_log_penalties(df: DataFrame) -> DataFrame:
-    return df.withColumns({"logpenaltydel": log_shift("penalty_del"), "logpenaltynav": log_shift("penalty_nav")})
+    return df.withColumns({"logpenaltydel": F.round(log_shift("penalty_del"), REPORT_DIGITS),
+                           "logpenaltynav": F.round(log_shift("penalty_nav"), REPORT_DIGITS)})
 
 
 def add_task_flags(df: DataFrame) -> DataFrame:
@@ -82,8 +90,11 @@ DAILY_MEASURES = ["del_commands", "nav_commands", "penalty_del", "penalty_nav",
 
 def daily_totals(df: DataFrame, keys: Sequence[str] = DAILY_KEYS,
                  measures: Sequence[str] = DAILY_MEASURES) -> DataFrame:
-    """Sums per day; nulls are skipped and an all-null group sums to 0."""
-    return df.groupBy(*keys).agg(*[F.coalesce(F.sum(m), F.lit(0)).cast("double").alias(m) for m in measures])
+    """Sums per day; nulls are skipped and an all-null group sums to 0.  The
+    measures are whole commands or microsecond-precision seconds, so sums are
+    rounded to the microsecond."""
+    return df.groupBy(*keys).agg(*[F.round(F.coalesce(F.sum(m), F.lit(0)).cast("double"), MICRO_DIGITS).alias(m)
+                                   for m in measures])
 
 
 def penalty_by_usage(df: DataFrame, commands: str, penalty: str) -> DataFrame:
@@ -91,7 +102,7 @@ def penalty_by_usage(df: DataFrame, commands: str, penalty: str) -> DataFrame:
     return df.groupBy(F.col(commands).alias("commands")).agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.count(penalty).alias("n_with_penalty"),
-        F.avg(penalty).alias("avg_penalty"),
+        F.round(F.avg(penalty), REPORT_DIGITS).alias("avg_penalty"),
         F.min(penalty).alias("min_penalty"),
         F.max(penalty).alias("max_penalty"),
         F.sum((F.col(penalty) > 0).cast("int")).alias("n_positive"),

@@ -315,7 +315,7 @@ def commands_by_category_q(spark, sf_dir):
                 WHEN NOT (penalty_nav <> 0 OR nav_commands <> 0) THEN 0 END AS is_in_task_nav,
            CASE WHEN del_commands > 0 THEN 1 ELSE 0 END AS used_command_del,
            CASE WHEN nav_commands > 0 THEN 1 ELSE 0 END AS used_command_nav,
-           ln(penalty_del + 0.01) AS logpenaltydel, ln(penalty_nav + 0.01) AS logpenaltynav
+           round(ln(penalty_del + 0.01), 9) AS logpenaltydel, round(ln(penalty_nav + 0.01), 9) AS logpenaltynav
     FROM rm""")
 def task_flags_q(spark, sf_dir):
     rm = runfeatures.run_metrics(spark, sf_dir)
@@ -353,11 +353,11 @@ def both_tasks_q(spark, sf_dir):
 
 @register("daily_totals", "WITH " + runfeatures.model_features_ctes("all") + """
     SELECT user_id, editor, task_year, task_month, task_day, task_dayweek,
-           CAST(coalesce(sum(del_commands), 0) AS DOUBLE) AS del_commands,
-           CAST(coalesce(sum(nav_commands), 0) AS DOUBLE) AS nav_commands,
-           CAST(coalesce(sum(penalty_del), 0) AS DOUBLE) AS penalty_del,
-           CAST(coalesce(sum(penalty_nav), 0) AS DOUBLE) AS penalty_nav,
-           CAST(coalesce(sum(task_time), 0) AS DOUBLE) AS task_time
+           round(CAST(coalesce(sum(del_commands), 0) AS DOUBLE), 6) AS del_commands,
+           round(CAST(coalesce(sum(nav_commands), 0) AS DOUBLE), 6) AS nav_commands,
+           round(CAST(coalesce(sum(penalty_del), 0) AS DOUBLE), 6) AS penalty_del,
+           round(CAST(coalesce(sum(penalty_nav), 0) AS DOUBLE), 6) AS penalty_nav,
+           round(CAST(coalesce(sum(task_time), 0) AS DOUBLE), 6) AS task_time
     FROM mf GROUP BY user_id, editor, task_year, task_month, task_day, task_dayweek""")
 def daily_totals_q(spark, sf_dir):
     return feat.daily_totals(runfeatures.model_features(spark, sf_dir))
@@ -366,7 +366,7 @@ def daily_totals_q(spark, sf_dir):
 def _usage_sql(filter_col, commands, penalty):
     return "WITH " + runfeatures.model_features_ctes("all") + f"""
     SELECT {commands} AS commands, count(*) AS n_runs, count({penalty}) AS n_with_penalty,
-           avg({penalty}) AS avg_penalty, min({penalty}) AS min_penalty, max({penalty}) AS max_penalty,
+           round(avg({penalty}), 9) AS avg_penalty, min({penalty}) AS min_penalty, max({penalty}) AS max_penalty,
            CAST(sum(CASE WHEN {penalty} > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_positive
     FROM mf WHERE {filter_col} = 1 GROUP BY {commands}"""
 
@@ -424,15 +424,17 @@ def stratified_runs_q(spark, sf_dir):
 # --- metrics ----------------------------------------------------------------------
 
 @register("regression_metrics", """
-    SELECT l_returnflag, sqrt(avg((p - y) * (p - y))) AS rmse, power(corr(p, y), 2) AS rsquared,
-           avg(abs(p - y)) AS mae, count(*) AS n
+    SELECT l_returnflag, round(sqrt(avg((p - y) * (p - y))), 9) AS rmse, round(power(corr(p, y), 2), 12) AS rsquared,
+           round(avg(abs(p - y)), 9) AS mae, count(*) AS n
     FROM (SELECT l_returnflag, l_extendedprice / 1000 AS p, l_quantity AS y FROM lineitem)
     GROUP BY l_returnflag""")
 def regression_metrics_q(spark, sf_dir):
     from spanflow.operators.modeling import regression_metrics
     li = read_table(spark, sf_dir, "lineitem")
     x = li.select("l_returnflag", (F.col("l_extendedprice") / 1000).alias("p"), F.col("l_quantity").alias("y"))
-    return regression_metrics(x, "p", "y", ["l_returnflag"])
+    m = regression_metrics(x, "p", "y", ["l_returnflag"])
+    return m.select("l_returnflag", F.round("rmse", 9).alias("rmse"), F.round("rsquared", 12).alias("rsquared"),
+                    F.round("mae", 9).alias("mae"), "n")
 
 
 # --- sources and sinks -----------------------------------------------------------

@@ -102,7 +102,7 @@ def model_features_ctes(mode: str = "all") -> str:
         for c in FEATURE_COLS)
     return run_metrics_ctes(mode) + ",\n    " + PEOPLE_SQL + f""",
     f0 AS (
-      SELECT rm.*, ln(penalty_del + 0.01) AS logpenaltydel, ln(penalty_nav + 0.01) AS logpenaltynav,
+      SELECT rm.*, round(ln(penalty_del + 0.01), 9) AS logpenaltydel, round(ln(penalty_nav + 0.01), 9) AS logpenaltynav,
              people.company, people.degree, people.years_study, people.work_experience
       FROM rm JOIN people ON rm.user_id = people.user_id
       WHERE task_time >= {MIN_TASK_S} AND task_time < {MAX_TASK_S}),

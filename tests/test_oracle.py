@@ -15,7 +15,7 @@ SLOW = {"model_features", "both_tasks", "daily_totals", "penalty_by_usage_del",
 
 def norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.9g}")
+        return "nan" if math.isnan(v) else repr(v)
     if hasattr(v, "isoformat"):
         return v.isoformat()
     return v
