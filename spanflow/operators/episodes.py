@@ -30,14 +30,17 @@ from spanflow.operators.islands import FAMILIES
 from spanflow.operators.sequences import RUN_KEYS
 
 RUN_GROUP = "#run"
-EVENT_GROUP = "#event"
+# Integer group codes inside the stream (cheaper to sort and compare than
+# names): events, then one code per pattern, then the run-info row.
+EVENT_CODE = 0
+RUN_CODE = 99
 
 
 
-def _span_item(name: str):
+def _span_item(code: int):
     def item(x, i):
         return F.struct(
-            F.lit("S").alias("typ"), F.lit(name).alias("grp"), i.cast("int").alias("idx"),
+            F.lit("S").alias("typ"), F.lit(code).alias("grp"), i.cast("int").alias("idx"),
             F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("seq"),
             (F.length(x["g"]) + F.length(x["m"])).cast("int").alias("len"),
             F.length(x["m"]).cast("int").alias("ml"), F.lit(None).cast("string").alias("key_event"))
@@ -64,19 +67,20 @@ def episode_stream(runs: DataFrame, keys: Sequence[str] = RUN_KEYS,
     row per run (``typ = 'R'``, carrying key_string, n_events, first/last)."""
     keys = list(keys)
     ev_items = F.transform("evs", lambda x, i: F.struct(
-        F.lit("E").alias("typ"), F.lit(EVENT_GROUP).alias("grp"), i.cast("int").alias("idx"),
+        F.lit("E").alias("typ"), F.lit(EVENT_CODE).alias("grp"), i.cast("int").alias("idx"),
         x["t"].alias("t"), x["seq"].alias("seq"), F.length(x["tok"]).cast("int").alias("len"),
         F.lit(None).cast("int").alias("ml"), x["tok"].alias("key_event")))
     parts = [ev_items]
+    codes = {name: n + 1 for n, name in enumerate(patterns)}
     for name, p in patterns.items():
         m = match_strings("key_string", p)
         if first_only:
             m = F.slice(m, 1, 1)
         g = F.slice(gap_strings("key_string", p), 1, F.size(m))
         z = F.arrays_zip(g.alias("g"), m.alias("m"))
-        parts.append(F.transform(z, _span_item(name)))
+        parts.append(F.transform(z, _span_item(codes[name])))
     run_item = F.array(F.struct(
-        F.lit("R").alias("typ"), F.lit(RUN_GROUP).alias("grp"), F.lit(-1).alias("idx"),
+        F.lit("R").alias("typ"), F.lit(RUN_CODE).alias("grp"), F.lit(-1).alias("idx"),
         F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("seq"),
         F.lit(0).alias("len"), F.lit(None).cast("int").alias("ml"),
         F.lit(None).cast("string").alias("key_event")))
@@ -93,20 +97,18 @@ def episode_stream(runs: DataFrame, keys: Sequence[str] = RUN_KEYS,
     x = x.withColumn("_cum", F.sum("len").over(w1).cast("int"))
 
     # Markers: a match opens after its start and closes at its end.
-    mk = "struct<pos:int,kind:int,v:int>"
     item = (F.when(F.col("typ") == "S", F.array(
                 F.struct((F.col("_cum") - F.col("ml")).alias("pos"), F.lit(2).alias("kind"), F.lit(1).alias("v")),
                 F.struct(F.col("_cum").alias("pos"), F.lit(0).alias("kind"), F.lit(-1).alias("v"))))
              .when(F.col("typ") == "E", F.array(F.struct((F.col("_cum") - 1).alias("pos"), F.lit(1).alias("kind"),
                                                           F.lit(0).alias("v"))))
-             .otherwise(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("kind"), F.lit(0).alias("v"))))
-             .cast(f"array<{mk}>"))
+             .otherwise(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("kind"), F.lit(0).alias("v")))))
     carried = ["typ", "grp", "idx", "t", "seq", "key_event", "key_string", "n_events", "first_us", "last_us"]
     x = x.select(*keys, *carried, F.explode(item).alias("_m"))
     x = x.select(*keys, *carried, F.col("_m.pos").alias("last_index"), F.col("_m.kind").alias("_kind"), F.col("_m.v").alias("_v"))
     w2 = (Window.partitionBy(*keys).orderBy("last_index", "_kind")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    x = x.withColumns({f"in_{p}": F.sum(F.when(F.col("grp") == p, F.col("_v")).otherwise(F.lit(0))).over(w2) > 0
+    x = x.withColumns({f"in_{p}": F.sum(F.when(F.col("grp") == codes[p], F.col("_v")).otherwise(F.lit(0))).over(w2) > 0
                        for p in patterns})
     return x.filter(F.col("typ") != "S").drop("grp", "_kind", "_v")
 
@@ -114,9 +116,11 @@ def episode_stream(runs: DataFrame, keys: Sequence[str] = RUN_KEYS,
 def stream_islands(stream: DataFrame, keys: Sequence[str] = RUN_KEYS,
                    families: Mapping[str, Sequence[str]] = FAMILIES,
                    free_us: int = FREE_US) -> DataFrame:
-    """Aggregate the stream to one row per (run, family, island), plus the run
-    rows (``family = '#run'``) that carry the run's own columns."""
+    """Aggregate the stream to one row per (run, family, island), plus one row
+    per run (``fam = -1``) that carries the run's own columns.  Families are
+    integer codes in the order of ``families`` (see :func:`family_name`)."""
     keys = list(keys)
+    fams = list(families)
     w = Window.partitionBy(*keys).orderBy("last_index")
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     flags = {}
@@ -127,25 +131,31 @@ def stream_islands(stream: DataFrame, keys: Sequence[str] = RUN_KEYS,
         flags[f"is_{fam}"] = c & (F.col("typ") == "E")
     x = stream.withColumns(flags)
     x = x.withColumns({f"_st_{f}": (F.col(f"is_{f}") & ~F.lag(f"is_{f}", 1, False).over(w)).cast("int")
-                       for f in families})
-    x = x.withColumns({f"_isl_{f}": F.sum(f"_st_{f}").over(running) for f in families})
-    per = [F.when(F.col(f"is_{f}"), F.struct(F.lit(f).alias("family"), F.col(f"_isl_{f}").alias("island")))
-           for f in families]
-    run_tag = F.when(F.col("typ") == "R", F.struct(F.lit(RUN_GROUP).alias("family"), F.lit(0).cast("long").alias("island")))
+                       for f in fams})
+    x = x.withColumns({f"_isl_{f}": F.sum(f"_st_{f}").over(running) for f in fams})
+    per = [F.when(F.col(f"is_{f}"), F.struct(F.lit(i).alias("fam"), F.col(f"_isl_{f}").alias("island")))
+           for i, f in enumerate(fams)]
+    run_tag = F.when(F.col("typ") == "R", F.struct(F.lit(-1).alias("fam"), F.lit(0).cast("long").alias("island")))
     x = x.select(*keys, "t", "key_string", "n_events", "first_us", "last_us",
                  F.explode(F.filter(F.array(run_tag, *per), lambda s: s.isNotNull())).alias("_f"))
-    out = x.groupBy(*keys, F.col("_f.family").alias("family"), F.col("_f.island").alias("island")).agg(
+    # The run string is a grouping key here (null except on the run row), so
+    # every aggregate buffer is fixed-width and the aggregate stays hash-based.
+    out = x.groupBy(*keys, F.col("_f.fam").alias("fam"), F.col("_f.island").alias("island"), "key_string").agg(
         F.count("t").alias("n_events_island"), F.min("t").alias("first_t"), F.max("t").alias("last_t"),
-        F.max("key_string").alias("key_string"), F.max("n_events").alias("n_events"),
-        F.max("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+        F.max("n_events").alias("n_events"), F.max("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
     out = out.withColumn("duration_us", F.col("last_t") - F.col("first_t"))
-    return out.withColumn("penalty_us", F.when(F.col("family") != RUN_GROUP, excess_us("duration_us", free_us)))
+    return out.withColumn("penalty_us", F.when(F.col("fam") >= 0, excess_us("duration_us", free_us)))
 
 
-def island_table(isl: DataFrame) -> DataFrame:
+def family_name(code_col, families: Sequence[str] = tuple(FAMILIES)):
+    return F.element_at(F.array(*[F.lit(f) for f in families]), (F.col(code_col) + 1).cast("int"))
+
+
+def island_table(isl: DataFrame, families: Sequence[str] = tuple(FAMILIES)) -> DataFrame:
     """Islands only: keys, family, island, n_events, first_us, last_us, duration_us, penalty_us."""
-    return (isl.filter(F.col("family") != RUN_GROUP)
-               .select(*RUN_KEYS, "family", "island", F.col("n_events_island").alias("n_events"),
+    return (isl.filter(F.col("fam") >= 0)
+               .select(*RUN_KEYS, family_name("fam", families).alias("family"), "island",
+                       F.col("n_events_island").alias("n_events"),
                        F.col("first_t").alias("first_us"), F.col("last_t").alias("last_us"),
                        "duration_us", "penalty_us"))
 
@@ -153,16 +163,20 @@ def island_table(isl: DataFrame) -> DataFrame:
 def run_penalty_table(isl: DataFrame, keys: Sequence[str] = RUN_KEYS,
                       families: Sequence[str] = tuple(FAMILIES)) -> DataFrame:
     """Per run: run columns, task time and per-family penalty and percentage.
-    Runs of zero duration are dropped before any division; a family without
-    islands in a run stays null."""
+
+    Penalty sums are windowed over the run's island rows and read off the run
+    row (the island rows are already partitioned by run, so this is one pass
+    without a join back).  Runs of zero duration are dropped before any
+    division; a family without islands in a run stays null."""
     keys = list(keys)
-    aggs = [F.max("key_string").alias("key_string"), F.max("n_events").alias("n_events"),
-            F.max("first_us").alias("first_us"), F.max("last_us").alias("last_us")]
-    aggs += [F.sum(F.when(F.col("family") == f, F.col("penalty_us"))).alias(f"penalty_{f}_us") for f in families]
-    r = isl.groupBy(*keys).agg(*aggs)
+    w = Window.partitionBy(*keys)
+    sums = {f"penalty_{f}_us": F.sum(F.when(F.col("fam") == i, F.col("penalty_us"))).over(w)
+            for i, f in enumerate(families)}
+    r = isl.withColumns(sums).filter(F.col("fam") < 0)
     r = r.withColumn("task_us", F.col("last_us") - F.col("first_us")).filter(F.col("task_us") > 0)
     cols = {"task_time": seconds("task_us")}
     for f in families:
         cols[f"penalty_{f}"] = seconds(f"penalty_{f}_us")
         cols[f"percentage_{f}"] = percentage(f"penalty_{f}_us", "task_us")
-    return r.withColumns(cols)
+    return r.select(*keys, "key_string", "n_events", "first_us", "last_us", "task_us", *sums,
+                    *[c.alias(n) for n, c in cols.items()])

@@ -168,7 +168,7 @@ def task_runs_q(spark, sf_dir):
            CAST(coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w, 0) AS DOUBLE) / 1e6 AS time_diff
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def time_gap_q(spark, sf_dir):
-    ev = read_table(spark, sf_dir, "events")
+    ev = files.spread(read_table(spark, sf_dir, "events"))
     ev = ev.select("event_id", "user_id", epoch_us("ts", ev.schema["ts"].dataType).alias("t_us"))
     out = time_gap(ev, ["user_id"], t="t_us", tie="event_id")
     return out.select("event_id", "user_id", "t_us", "gap_us", seconds("gap_us").alias("time_diff"))
@@ -223,7 +223,7 @@ def positive_duration_q(spark, sf_dir):
 
 @register("recode_events", recode.recode_sql())
 def recode_events_q(spark, sf_dir):
-    keys = recode.raw_keys(read_table(spark, sf_dir, "events"))
+    keys = recode.raw_keys(files.spread(read_table(spark, sf_dir, "events")))
     return recode.recode_events(keys, recode.keycodes_frame(spark))
 
 

@@ -57,7 +57,8 @@ def key_events(events: DataFrame) -> DataFrame:
 
 
 def load_key_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return key_events(read_table(spark, sf_dir, "events"))
+    from spanflow.sources.files import spread
+    return key_events(spread(read_table(spark, sf_dir, "events")))
 
 
 # SQL form of K for the DuckDB oracle (same rule, written as a join to the code list).
