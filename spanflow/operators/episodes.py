@@ -37,16 +37,6 @@ RUN_CODE = 99
 
 
 
-def _span_item(code: int):
-    def item(x, i):
-        return F.struct(
-            F.lit("S").alias("typ"), F.lit(code).alias("grp"), i.cast("int").alias("idx"),
-            F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("seq"),
-            (F.length(x["g"]) + F.length(x["m"])).cast("int").alias("len"),
-            F.length(x["m"]).cast("int").alias("ml"), F.lit(None).cast("string").alias("key_event"))
-    return item
-
-
 def run_rows(ev: DataFrame, keys: Sequence[str] = RUN_KEYS, t: str = "t_us", tie: str = "seq",
              token: str = "key_event") -> DataFrame:
     """One row per run with ``evs`` (events sorted by ``(t, tie)``),
@@ -55,10 +45,30 @@ def run_rows(ev: DataFrame, keys: Sequence[str] = RUN_KEYS, t: str = "t_us", tie
                                                 F.col(token).alias("tok"))))
     r = ev.groupBy(*keys).agg(evs.alias("evs"), F.count(token).alias("n_events"))
     return r.select(*keys, "evs",
-                    F.array_join(F.transform("evs", lambda x: x["tok"]), "").alias("key_string"),
+                    F.expr("array_join(transform(evs, x -> x.tok), '')").alias("key_string"),
                     "n_events",
-                    F.col("evs")[0]["t"].alias("first_us"),
-                    F.element_at("evs", -1)["t"].alias("last_us"))
+                    F.expr("evs[0].t").alias("first_us"),
+                    F.expr("element_at(evs, -1).t").alias("last_us"))
+
+
+# Items of the per-run stream, written as SQL lambdas (one expression each).
+_NULLS = "'t', CAST(NULL AS BIGINT), 'seq', CAST(NULL AS BIGINT)"
+_EVENT_ITEMS = (f"transform(evs, (x, i) -> named_struct('typ', 'E', 'grp', {EVENT_CODE}, 'idx', i, 't', x.t, "
+                "'seq', x.seq, 'len', length(x.tok), 'ml', CAST(NULL AS INT), 'key_event', x.tok))")
+_RUN_ITEM = (f"array(named_struct('typ', 'R', 'grp', {RUN_CODE}, 'idx', -1, {_NULLS}, 'len', 0, "
+             "'ml', CAST(NULL AS INT), 'key_event', CAST(NULL AS STRING)))")
+
+
+def _span_items(code: int, g: str, m: str) -> str:
+    return (f"transform(arrays_zip({g}, {m}), (z, i) -> named_struct('typ', 'S', 'grp', {code}, 'idx', i, "
+            f"{_NULLS}, 'len', length(z.{g}) + length(z.{m}), 'ml', length(z.{m}), "
+            "'key_event', CAST(NULL AS STRING)))")
+
+
+_MARKERS = """CASE typ
+  WHEN 'S' THEN array(named_struct('pos', _cum - ml, 'kind', 2, 'v', 1), named_struct('pos', _cum, 'kind', 0, 'v', -1))
+  WHEN 'E' THEN array(named_struct('pos', _cum - 1, 'kind', 1, 'v', 0))
+  ELSE array(named_struct('pos', -1, 'kind', -1, 'v', 0)) END"""
 
 
 def episode_stream(runs: DataFrame, keys: Sequence[str] = RUN_KEYS,
@@ -66,30 +76,20 @@ def episode_stream(runs: DataFrame, keys: Sequence[str] = RUN_KEYS,
     """Events with ``last_index`` and ``in_<pattern>`` flags, plus one run-info
     row per run (``typ = 'R'``, carrying key_string, n_events, first/last)."""
     keys = list(keys)
-    ev_items = F.transform("evs", lambda x, i: F.struct(
-        F.lit("E").alias("typ"), F.lit(EVENT_CODE).alias("grp"), i.cast("int").alias("idx"),
-        x["t"].alias("t"), x["seq"].alias("seq"), F.length(x["tok"]).cast("int").alias("len"),
-        F.lit(None).cast("int").alias("ml"), x["tok"].alias("key_event")))
-    parts = [ev_items]
+    run_cols = ["key_string", "n_events", "first_us", "last_us"]
     codes = {name: n + 1 for n, name in enumerate(patterns)}
+    regex_cols = []
     for name, p in patterns.items():
         m = match_strings("key_string", p)
         if first_only:
             m = F.slice(m, 1, 1)
-        g = F.slice(gap_strings("key_string", p), 1, F.size(m))
-        z = F.arrays_zip(g.alias("g"), m.alias("m"))
-        parts.append(F.transform(z, _span_item(codes[name])))
-    run_item = F.array(F.struct(
-        F.lit("R").alias("typ"), F.lit(RUN_CODE).alias("grp"), F.lit(-1).alias("idx"),
-        F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("seq"),
-        F.lit(0).alias("len"), F.lit(None).cast("int").alias("ml"),
-        F.lit(None).cast("string").alias("key_event")))
-    parts.append(run_item)
-    x = runs.select(*keys, "key_string", "n_events", "first_us", "last_us",
-                    F.explode(F.concat(*parts)).alias("_it"))
-    x = x.select(*keys, F.col("_it.*"),
-                 *[F.when(F.col("_it.typ") == "R", F.col(c)).alias(c)
-                   for c in ("key_string", "n_events", "first_us", "last_us")])
+        c = codes[name]
+        regex_cols += [m.alias(f"_m{c}"), F.slice(gap_strings("key_string", p), 1, F.size(m)).alias(f"_g{c}")]
+    x = runs.select(*keys, *run_cols, "evs", *regex_cols)
+    items = ", ".join([_EVENT_ITEMS] + [_span_items(codes[n], f"_g{codes[n]}", f"_m{codes[n]}") for n in patterns]
+                      + [_RUN_ITEM])
+    x = x.select(*keys, *run_cols, F.expr(f"explode(concat({items}))").alias("_it"))
+    x = x.select(*keys, F.col("_it.*"), *[F.expr(f"CASE WHEN _it.typ = 'R' THEN {c} END").alias(c) for c in run_cols])
 
     # Offsets: running length sum per (run, group) in item order.
     w1 = (Window.partitionBy(*keys, "grp").orderBy("idx")
@@ -97,18 +97,13 @@ def episode_stream(runs: DataFrame, keys: Sequence[str] = RUN_KEYS,
     x = x.withColumn("_cum", F.sum("len").over(w1).cast("int"))
 
     # Markers: a match opens after its start and closes at its end.
-    item = (F.when(F.col("typ") == "S", F.array(
-                F.struct((F.col("_cum") - F.col("ml")).alias("pos"), F.lit(2).alias("kind"), F.lit(1).alias("v")),
-                F.struct(F.col("_cum").alias("pos"), F.lit(0).alias("kind"), F.lit(-1).alias("v"))))
-             .when(F.col("typ") == "E", F.array(F.struct((F.col("_cum") - 1).alias("pos"), F.lit(1).alias("kind"),
-                                                          F.lit(0).alias("v"))))
-             .otherwise(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("kind"), F.lit(0).alias("v")))))
-    carried = ["typ", "grp", "idx", "t", "seq", "key_event", "key_string", "n_events", "first_us", "last_us"]
-    x = x.select(*keys, *carried, F.explode(item).alias("_m"))
-    x = x.select(*keys, *carried, F.col("_m.pos").alias("last_index"), F.col("_m.kind").alias("_kind"), F.col("_m.v").alias("_v"))
+    carried = ["typ", "grp", "idx", "t", "seq", "key_event", *run_cols]
+    x = x.select(*keys, *carried, F.expr(f"explode({_MARKERS})").alias("_m"))
+    x = x.select(*keys, *carried, F.col("_m.pos").alias("last_index"), F.col("_m.kind").alias("_kind"),
+                 F.col("_m.v").alias("_v"))
     w2 = (Window.partitionBy(*keys).orderBy("last_index", "_kind")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    x = x.withColumns({f"in_{p}": F.sum(F.when(F.col("grp") == codes[p], F.col("_v")).otherwise(F.lit(0))).over(w2) > 0
+    x = x.withColumns({f"in_{p}": F.sum(F.expr(f"CASE WHEN grp = {codes[p]} THEN _v ELSE 0 END")).over(w2) > 0
                        for p in patterns})
     return x.filter(F.col("typ") != "S").drop("grp", "_kind", "_v")
 
@@ -123,21 +118,17 @@ def stream_islands(stream: DataFrame, keys: Sequence[str] = RUN_KEYS,
     fams = list(families)
     w = Window.partitionBy(*keys).orderBy("last_index")
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    flags = {}
-    for fam, pats in families.items():
-        c = None
-        for p in pats:
-            c = F.col(f"in_{p}") if c is None else (c | F.col(f"in_{p}"))
-        flags[f"is_{fam}"] = c & (F.col("typ") == "E")
+    flags = {f"is_{fam}": F.expr("(" + " OR ".join(f"in_{p}" for p in pats) + ") AND typ = 'E'")
+             for fam, pats in families.items()}
     x = stream.withColumns(flags)
     x = x.withColumns({f"_st_{f}": (F.col(f"is_{f}") & ~F.lag(f"is_{f}", 1, False).over(w)).cast("int")
                        for f in fams})
     x = x.withColumns({f"_isl_{f}": F.sum(f"_st_{f}").over(running) for f in fams})
-    per = [F.when(F.col(f"is_{f}"), F.struct(F.lit(i).alias("fam"), F.col(f"_isl_{f}").alias("island")))
-           for i, f in enumerate(fams)]
-    run_tag = F.when(F.col("typ") == "R", F.struct(F.lit(-1).alias("fam"), F.lit(0).cast("long").alias("island")))
-    x = x.select(*keys, "t", "key_string", "n_events", "first_us", "last_us",
-                 F.explode(F.filter(F.array(run_tag, *per), lambda s: s.isNotNull())).alias("_f"))
+    per = ", ".join([f"CASE WHEN is_{f} THEN named_struct('fam', {i}, 'island', _isl_{f}) END"
+                     for i, f in enumerate(fams)])
+    tags = (f"filter(array(CASE WHEN typ = 'R' THEN named_struct('fam', -1, 'island', CAST(0 AS BIGINT)) END, "
+            f"{per}), s -> s IS NOT NULL)")
+    x = x.select(*keys, "t", "key_string", "n_events", "first_us", "last_us", F.expr(f"explode({tags})").alias("_f"))
     # The run string is a grouping key here (null except on the run row), so
     # every aggregate buffer is fixed-width and the aggregate stays hash-based.
     out = x.groupBy(*keys, F.col("_f.fam").alias("fam"), F.col("_f.island").alias("island"), "key_string").agg(

@@ -32,12 +32,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def codes_for(event_type_col) -> F.Column:
-    expr = None
-    for et, codes in EVENT_CODES.items():
-        arr = F.array(*[F.lit(c) for c in codes])
-        expr = F.when(event_type_col == et, arr) if expr is None else expr.when(event_type_col == et, arr)
-    return expr
+def codes_sql(event_type: str = "event_type") -> str:
+    whens = " ".join(f"WHEN '{et}' THEN array({', '.join(repr(c) for c in codes)})"
+                     for et, codes in EVENT_CODES.items())
+    return f"CASE {event_type} {whens} END"
 
 
 def key_events(events: DataFrame) -> DataFrame:
@@ -45,13 +43,12 @@ def key_events(events: DataFrame) -> DataFrame:
     (no shuffle): every event row becomes its code rows in place."""
     ts_type = events.schema["ts"].dataType
     x = events.select("event_id", "user_id", epoch_us("ts", ts_type).alias("_us"),
-                      F.posexplode(codes_for(F.col("event_type"))).alias("_i", "key_event"))
-    return x.select(
+                      F.expr(f"posexplode({codes_sql()})").alias("_i", "key_event"))
+    return x.selectExpr(
         "user_id",
-        F.when(F.col("event_id") % 2 == 0, F.lit("eclipse")).otherwise(F.lit("vscode")).alias("editor"),
-        (F.col("event_id") * SEQ_STRIDE + F.col("_i")).alias("seq"),
-        (F.lit(ORIGIN_US) + F.expr(f"(_us - {ORIGIN_US}) div {COMPRESSION}")
-         + F.col("_i") * F.lit(CODE_STEP_US)).alias("t_us"),
+        "CASE WHEN event_id % 2 = 0 THEN 'eclipse' ELSE 'vscode' END AS editor",
+        f"event_id * {SEQ_STRIDE} + _i AS seq",
+        f"{ORIGIN_US} + (_us - {ORIGIN_US}) div {COMPRESSION} + _i * {CODE_STEP_US} AS t_us",
         "key_event",
     )
 
