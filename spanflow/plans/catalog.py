@@ -117,8 +117,8 @@ for _m in ("all", "first"):
     c AS (SELECT *, CASE WHEN row_id - lag(row_id) OVER (PARTITION BY user_id, editor, task_runs ORDER BY t_us, seq) = 1
                          THEN 0 ELSE 1 END AS brk FROM m)
     SELECT user_id, editor, task_runs, row_id, t_us, key_event,
-           sum(brk) OVER (PARTITION BY user_id, editor, task_runs ORDER BY t_us, seq
-                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS consecutive_groups
+           CAST(sum(brk) OVER (PARTITION BY user_id, editor, task_runs ORDER BY t_us, seq
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS consecutive_groups
     FROM c""")
 def islands_by_row_id(spark, sf_dir):
     """Matched delete events numbered into islands by row-id adjacency."""
@@ -462,7 +462,7 @@ def csv_roundtrip_q(spark, sf_dir):
 
 
 @register("attach_runs", "WITH " + oracle.runs_ctes() + """
-    SELECT e.user_id, e.editor, e.task_runs, e.seq, e.key_event, r.n_events, length(r.key_string) AS run_length
+    SELECT e.user_id, e.editor, e.task_runs, e.seq, e.key_event, r.n_events, CAST(length(r.key_string) AS INTEGER) AS run_length
     FROM ev e LEFT JOIN runs r ON e.user_id = r.user_id AND e.editor = r.editor AND e.task_runs = r.task_runs""")
 def attach_runs_q(spark, sf_dir):
     """Run attributes attached to every event of the run (1:N left join)."""

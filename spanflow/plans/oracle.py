@@ -28,8 +28,8 @@ def _runs_ctes() -> str:
              row_number() OVER (PARTITION BY user_id, editor ORDER BY t_us, seq) AS row_id
       FROM k),
     ev AS (
-      SELECT *, 1 + sum(brk) OVER (PARTITION BY user_id, editor ORDER BY t_us, seq
-                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS task_runs
+      SELECT *, CAST(1 + sum(brk) OVER (PARTITION BY user_id, editor ORDER BY t_us, seq
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS task_runs
       FROM kb),
     ev2 AS (
       SELECT *, sum(length(key_event)) OVER (PARTITION BY user_id, editor, task_runs ORDER BY t_us, seq

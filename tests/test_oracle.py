@@ -21,6 +21,10 @@ def norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 def key(row):
     return tuple((0, "") if x is None else (1, str(x)) for x in row)
 
@@ -44,6 +48,10 @@ def test_query_matches_oracle(spark, con, name):
     got = sorted((tuple(norm(v) for v in r) for r in df.collect()), key=key)
     rel = con.sql(E.oracle_sql()[name])
     assert sorted(rel.columns) == sorted(cols)
+    duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        assert SPARK_TO_DUCK.get(t, t) == duck[f.name], (f.name, t, duck[f.name])
     idx = [rel.columns.index(c) for c in cols]
     want = sorted((tuple(norm(r[i]) for i in idx) for r in rel.fetchall()), key=key)
     assert got == want
