@@ -92,6 +92,21 @@ for _m in ("all", "first"):
     register(f"span_flags_{_m}", oracle.span_flags_sql(_m))(_span_flags(_m))
 
 
+@register("run_penalties_modular", oracle.run_penalties_sql("all"))
+def run_penalties_modular(spark, sf_dir):
+    """The flagship from the stand-alone operators: offsets window, span rows,
+    marker merge, island numbering, island durations, per-run sums and the
+    metric join (the fused plan in ``cleaning`` computes the same in one pass
+    per run)."""
+    from spanflow.operators.penalty import per_run, run_metrics
+    ev = cleaning.run_events(K(spark, sf_dir))
+    runs = ordered_concat(ev)
+    fl = span_flags(end_offset(ev), span_rows(runs)).withColumns(isl_ops.family_flags())
+    fl = isl_ops.island_ids(fl, [f"is_{f}" for f in FAMILIES])
+    rp = run_metrics(runs, per_run(isl_ops.island_durations(fl)))
+    return rp.select(*RUN_KEYS, "key_string", "n_events", "first_us", "last_us", "task_time", *PENALTY_COLS)
+
+
 @register("span_flags_modular", oracle.span_flags_sql("all"))
 def span_flags_modular(spark, sf_dir):
     """The same flags from the stand-alone operators (offset window, span rows,
