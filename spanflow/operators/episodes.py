@@ -29,7 +29,6 @@ from spanflow.functions.spans import PATTERNS, gap_strings, match_strings
 from spanflow.operators.islands import FAMILIES
 from spanflow.operators.sequences import RUN_KEYS
 
-RUN_GROUP = "#run"
 # Integer group codes inside the stream (cheaper to sort and compare than
 # names): events, then one code per pattern, then the run-info row.
 EVENT_CODE = 0
@@ -111,9 +110,15 @@ def episode_stream(runs: DataFrame, keys: Sequence[str] = RUN_KEYS,
 def stream_islands(stream: DataFrame, keys: Sequence[str] = RUN_KEYS,
                    families: Mapping[str, Sequence[str]] = FAMILIES,
                    free_us: int = FREE_US) -> DataFrame:
-    """Aggregate the stream to one row per (run, family, island), plus one row
-    per run (``fam = -1``) that carries the run's own columns.  Families are
-    integer codes in the order of ``families`` (see :func:`family_name`)."""
+    """Island bookkeeping on the run-ordered stream, with windows only.
+
+    The stream arrives sorted by run and offset from the marker window, so
+    every window below reuses that order (no further sort, no aggregate).  Per
+    family ``f``: ``is_f`` (event in a match of the family), ``_st_f`` /
+    ``_en_f`` (first / last event of an island, from lag / lead), ``_isl_f``
+    (island number), ``_t0_f`` / ``_i0_f`` (time and index of the island's
+    first event) and ``_pen_f`` (the island's penalty, on its last event).
+    """
     keys = list(keys)
     fams = list(families)
     w = Window.partitionBy(*keys).orderBy("last_index")
@@ -121,49 +126,51 @@ def stream_islands(stream: DataFrame, keys: Sequence[str] = RUN_KEYS,
     flags = {f"is_{fam}": F.expr("(" + " OR ".join(f"in_{p}" for p in pats) + ") AND typ = 'E'")
              for fam, pats in families.items()}
     x = stream.withColumns(flags)
-    x = x.withColumns({f"_st_{f}": (F.col(f"is_{f}") & ~F.lag(f"is_{f}", 1, False).over(w)).cast("int")
-                       for f in fams})
-    x = x.withColumns({f"_isl_{f}": F.sum(f"_st_{f}").over(running) for f in fams})
-    per = ", ".join([f"CASE WHEN is_{f} THEN named_struct('fam', {i}, 'island', _isl_{f}) END"
-                     for i, f in enumerate(fams)])
-    tags = (f"filter(array(CASE WHEN typ = 'R' THEN named_struct('fam', -1, 'island', CAST(0 AS BIGINT)) END, "
-            f"{per}), s -> s IS NOT NULL)")
-    x = x.select(*keys, "t", "key_string", "n_events", "first_us", "last_us", F.expr(f"explode({tags})").alias("_f"))
-    # The run string is a grouping key here (null except on the run row), so
-    # every aggregate buffer is fixed-width and the aggregate stays hash-based.
-    out = x.groupBy(*keys, F.col("_f.fam").alias("fam"), F.col("_f.island").alias("island"), "key_string").agg(
-        F.count("t").alias("n_events_island"), F.min("t").alias("first_t"), F.max("t").alias("last_t"),
-        F.max("n_events").alias("n_events"), F.max("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
-    out = out.withColumn("duration_us", F.col("last_t") - F.col("first_t"))
-    return out.withColumn("penalty_us", F.when(F.col("fam") >= 0, excess_us("duration_us", free_us)))
-
-
-def family_name(code_col, families: Sequence[str] = tuple(FAMILIES)):
-    return F.element_at(F.array(*[F.lit(f) for f in families]), (F.col(code_col) + 1).cast("int"))
-
-
-def island_table(isl: DataFrame, families: Sequence[str] = tuple(FAMILIES)) -> DataFrame:
-    """Islands only: keys, family, island, n_events, first_us, last_us, duration_us, penalty_us."""
-    return (isl.filter(F.col("fam") >= 0)
-               .select(*RUN_KEYS, family_name("fam", families).alias("family"), "island",
-                       F.col("n_events_island").alias("n_events"),
-                       F.col("first_t").alias("first_us"), F.col("last_t").alias("last_us"),
-                       "duration_us", "penalty_us"))
+    x = x.withColumns({
+        **{f"_st_{f}": F.col(f"is_{f}") & ~F.lag(f"is_{f}", 1, False).over(w) for f in fams},
+        **{f"_en_{f}": F.col(f"is_{f}") & ~F.lead(f"is_{f}", 1, False).over(w) for f in fams},
+    })
+    x = x.withColumns({
+        **{f"_isl_{f}": F.sum(F.col(f"_st_{f}").cast("long")).over(running) for f in fams},
+        **{f"_t0_{f}": F.last(F.when(F.col(f"_st_{f}"), F.col("t")), ignorenulls=True).over(running) for f in fams},
+        **{f"_i0_{f}": F.last(F.when(F.col(f"_st_{f}"), F.col("idx")), ignorenulls=True).over(running)
+           for f in fams},
+    })
+    return x.withColumns({f"_pen_{f}": F.when(F.col(f"_en_{f}"), excess_us(F.col("t") - F.col(f"_t0_{f}"), free_us))
+                          for f in fams})
+
+
+def island_table(isl: DataFrame, families: Sequence[str] = tuple(FAMILIES),
+                 keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+    """One row per island: keys, family, island, n_events, first_us, last_us,
+    duration_us, penalty_us (taken from each island's last event)."""
+    keys = list(keys)
+    fams = list(families)
+    ends = " OR ".join(f"_en_{f}" for f in fams)
+    items = ", ".join(
+        f"CASE WHEN _en_{f} THEN named_struct('family', '{f}', 'island', _isl_{f}, "
+        f"'n_events', CAST(idx - _i0_{f} + 1 AS BIGINT), 'first_us', _t0_{f}, 'penalty_us', _pen_{f}) END"
+        for f in fams)
+    x = isl.filter(F.expr(ends)).select(
+        *keys, "t", F.expr(f"explode(filter(array({items}), s -> s IS NOT NULL))").alias("_i"))
+    return x.select(*keys, F.col("_i.family").alias("family"), F.col("_i.island").alias("island"),
+                    F.col("_i.n_events").alias("n_events"), F.col("_i.first_us").alias("first_us"),
+                    F.col("t").alias("last_us"), (F.col("t") - F.col("_i.first_us")).alias("duration_us"),
+                    F.col("_i.penalty_us").alias("penalty_us"))
 
 
 def run_penalty_table(isl: DataFrame, keys: Sequence[str] = RUN_KEYS,
                       families: Sequence[str] = tuple(FAMILIES)) -> DataFrame:
     """Per run: run columns, task time and per-family penalty and percentage.
 
-    Penalty sums are windowed over the run's island rows and read off the run
-    row (the island rows are already partitioned by run, so this is one pass
-    without a join back).  Runs of zero duration are dropped before any
-    division; a family without islands in a run stays null."""
+    Island penalties are summed over the run's partition and read off the run
+    row - one more window on the same order, no aggregate and no join back.
+    Runs of zero duration are dropped before any division; a family without
+    islands in a run stays null."""
     keys = list(keys)
     w = Window.partitionBy(*keys)
-    sums = {f"penalty_{f}_us": F.sum(F.when(F.col("fam") == i, F.col("penalty_us"))).over(w)
-            for i, f in enumerate(families)}
-    r = isl.withColumns(sums).filter(F.col("fam") < 0)
+    sums = {f"penalty_{f}_us": F.sum(f"_pen_{f}").over(w) for f in families}
+    r = isl.withColumns(sums).filter(F.col("typ") == "R")
     r = r.withColumn("task_us", F.col("last_us") - F.col("first_us")).filter(F.col("task_us") > 0)
     cols = {"task_time": seconds("task_us")}
     for f in families:
