@@ -12,9 +12,10 @@ partition; the run table is not joined back to its own events.
 3. Matches become an open and a close marker; ordered by character offset
    (close < event < open at equal offsets) the running count of open matches
    of a pattern is positive exactly at the events strictly inside one.
-4. Events are numbered into islands of consecutive flagged events per family,
-   islands are aggregated to durations and penalties, and those are summed per
-   run next to the run-info row.
+4. On that same order, windows mark each family's islands of consecutive
+   flagged events (lag/lead), carry each island's first time forward, put the
+   island's penalty on its last event and sum penalties over the run onto the
+   run-info row.  No aggregate follows the marker sort.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ EVENT_CODE = 0
 RUN_CODE = 99
 
 
-
 def run_rows(ev: DataFrame, keys: Sequence[str] = RUN_KEYS, t: str = "t_us", tie: str = "seq",
              token: str = "key_event") -> DataFrame:
     """One row per run with ``evs`` (events sorted by ``(t, tie)``),
