@@ -77,9 +77,12 @@ def run_metrics_ctes(mode: str = "all") -> str:
                                  AND rp.task_runs = cat.task_runs)"""
 
 
-FEATURE_COLS = ["user_id", "editor", "task_runs", "first_us", "penalty_del", "penalty_nav", "task_time",
+RUN_FEATURES = ["user_id", "editor", "task_runs", "first_us", "penalty_del", "penalty_nav", "task_time",
                 "del_commands", "nav_commands", "is_in_task_del", "is_in_task_nav", "logpenaltydel",
-                "logpenaltynav", "company", "degree", "years_study", "work_experience"]
+                "logpenaltynav"]
+# The people columns after the key, as laid out by ``people`` (the SQL oracle
+# lists the same names).
+FEATURE_COLS = RUN_FEATURES + ["company", "degree", "years_study", "work_experience"]
 CALENDAR_COLS = ["task_day", "task_month", "task_year", "task_dayweek", "used_command_del",
                  "used_command_nav", "morning_after"]
 
@@ -89,11 +92,13 @@ def model_features(spark: SparkSession, sf_dir: str, mode: str = "all") -> DataF
     flags, nulls filled with 0 and local calendar features."""
     rm = duration_range(run_metrics(spark, sf_dir, mode), "task_time", MIN_TASK_S, MAX_TASK_S)
     rm = add_log_penalties(rm)
-    rm = join_people(rm, people(spark, sf_dir))
-    rm = add_task_flags(rm)
-    rm = fill_numeric(rm.select(*FEATURE_COLS), 0)
+    ppl = people(spark, sf_dir)
+    rm = add_task_flags(join_people(rm, ppl))
+    # Run features plus every people column but the key, named at run time.
+    cols = RUN_FEATURES + ppl.columns[1:]
+    rm = fill_numeric(rm.select(*cols), 0)
     rm = add_usage_flags(add_calendar(rm, "first_us", LOCAL_ZONE))
-    return rm.select(*FEATURE_COLS, *CALENDAR_COLS)
+    return rm.select(*cols, *CALENDAR_COLS)
 
 
 def model_features_ctes(mode: str = "all") -> str:
