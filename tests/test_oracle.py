@@ -61,3 +61,19 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "penalty_del" in df.columns
+
+
+@pytest.mark.parametrize("name", ["local_calendar", "recode_events", "time_gap", "run_penalties_all"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = E.queries()[name](spark, SF_SMALL)
+        cols = df.columns
+        got = sorted((tuple(norm(v) for v in r) for r in df.collect()), key=key)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    rel = con.sql(E.oracle_sql()[name])
+    idx = [rel.columns.index(c) for c in cols]
+    want = sorted((tuple(norm(r[i]) for i in idx) for r in rel.fetchall()), key=key)
+    assert got == want
