@@ -67,15 +67,17 @@ def keycodes_frame(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(KEYCODES, "keyval string, new string"))
 
 
-def recode_events(keys: DataFrame, codes: DataFrame, since: str = SINCE) -> DataFrame:
+def recode_events(keys: DataFrame, codes: DataFrame, since: str = SINCE,
+                  id_cols: tuple[str, ...] = ("event_id", "key_no")) -> DataFrame:
     """Classify the editor, build the lookup key, keep rows after ``since`` in
     a known editor, attach the code (rows whose code is DELETE or missing
-    drop out) and add calendar parts and the event token."""
+    drop out) and add calendar parts and the event token.  ``id_cols`` are
+    carried through (a stable row id serves as the tie-breaker ``seq``)."""
     k = keys.withColumns({"editor": classify_editor("app"),
                           "keyval": composite_key("device", "keyval", null_col="keyval")})
     k = k.filter((F.col("time") > F.lit(since)) & (F.col("editor") != EDITOR_DEFAULT))
     j = k.join(codes, on="keyval", how="left")
-    out = j.select(F.col("user_id_id").alias("user_id"), "event_id", "key_no", "time", "device",
+    out = j.select(F.col("user_id_id").alias("user_id"), *id_cols, "time", "device",
                    *[c.alias(n) for n, c in calendar_columns("time").items()],
                    "editor", "event_type", F.col("new").alias("event"))
     # Null codes fail the comparison too, so the left join acts as an inner one.
