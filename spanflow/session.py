@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,8 +49,9 @@ def get_session(master: str | None = None, app: str = "spanflow",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) is a fresh local folder created and registered.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    folder of the SQL warehouse is used: it is shared storage on every cluster,
+    never a machine-local temporary folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -58,14 +59,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="spanflow-ckpt-")
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(d)
     # setCheckpointDir creates a uuid sub-folder; return the effective path.
     return sc.getCheckpointDir() or d
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/staged-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str | None = None) -> str:
     """A path for an intermediate table under the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    return base.rstrip("/") + "/" + name
+    return f"{scratch_root(spark)}/{name or uuid.uuid4().hex}"
+
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove every intermediate table this application has staged.
+
+    Call it when no frame that reads a staged table is needed any more.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path, True)
