@@ -18,10 +18,16 @@ from spanflow.sources.tables import stage
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither fail a base rule nor exceed a certified cutoff; cutoffs come from the labelled ones."""
-    metrics = stage(queries.quality_metrics(docs, "doc_id").drop("text"))
-    cuts = stage(quality.cutoffs(quality.labelled_rows(metrics, queries.table(spark, sf_dir, "labels"))))
-    rows = docs.select(F.struct("*").alias("__row"), "text", "lang")
-    return quality.judge(queries.quality_metrics(rows, "__row"), cuts).where("kept").select("__row.*")
+    keyed = docs.select("doc_id", "lang", *text_key(F.col("text")), "text")
+    metrics = stage(queries.quality_metrics(keyed, "doc_id", "k1", "k2").drop("text"))
+    cuts = quality.cutoffs(quality.labelled_rows(metrics, queries.table(spark, sf_dir, "labels")))
+    kept = stage(quality.judge(metrics, cuts).where("kept").select(
+        F.col("doc_id").alias("__d"), "k1", "k2", F.col("stratum").alias("__s")))
+    rows = docs.select("*", quality.stratum_of(F.col("lang")).alias("__t"),
+                       *[k.alias(f"__{n}") for n, k in zip(("t1", "t2"), text_key(F.col("text")))])
+    on = (rows["doc_id"].eqNullSafe(kept["__d"]) & (rows["__t1"] == kept["k1"]) & (rows["__t2"] == kept["k2"])
+          & (rows["__t"] == kept["__s"]))
+    return rows.join(kept, on, "left_semi").select(*docs.columns)
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,9 +103,9 @@ s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(ran
           lambda i: md5(array_to_string(w[i + 1:i + 5], ' '))))
           WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END AS s FROM w),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS both
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS n
       FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p WHERE both >= 0.8 * (na + nb - both) - 1e-9
+l AS (SELECT a, b FROM p WHERE n >= 0.8 * (na + nb - n) - 1e-9
       UNION ALL SELECT a.doc_id, b.doc_id FROM s a, s b WHERE len(a.s) = 0 AND len(b.s) = 0 AND a.doc_id <> b.doc_id),
 r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT s.doc_id, c.class_id, coalesce(k.n, 0) AS n_links, len(s.s) AS n_set
