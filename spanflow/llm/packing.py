@@ -8,6 +8,7 @@ read; only piece descriptions (no ids) are shuffled, to their group.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ END_ID = 2
 #: Documents meant for one group, on average; a group is packed in one task.
 GROUP_ROWS = 16_384
 #: Words whose ids a Python worker remembers; only a matter of speed.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_600_000
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -49,21 +50,46 @@ class WordIds:
         self.memo: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
+        """Little-endian 32-bit ids of each text.  The tokenizer folds case, so A-Z may be folded first."""
+        split = [t.lower().split() for t in texts]
         self.learn(set().union(*split))
         get = self.memo.__getitem__
         for words in split:
             yield b"".join(map(get, words))
 
     def learn(self, words: set[bytes]) -> None:
-        """Have the ids of all ``words`` in the memo."""
+        """Have the ids of all ``words`` in the memo.
+
+        Letters and the marks after them are different tokens, so a word of
+        letters with marks at its end is put together from the two.
+        """
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        new = list(words.difference(self.memo))
+        cut: dict[bytes, tuple[bytes, bytes]] = {}
+        wanted = set()
+        for word in words.difference(self.memo):
+            core = word.rstrip(b".,!?")
+            if core and len(core) < len(word) and core.decode().isalpha():
+                cut[word] = (core, word[len(core):])
+                wanted.update(cut[word])
+            else:
+                wanted.add(word)
+        new = list(wanted.difference(self.memo))
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for w, e in zip(new, encoded):
-            self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, ids in zip(new, (e.ids for e in encoded)):
+            self.memo[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for w, (core, marks) in cut.items():
+            self.memo[w] = self.memo[core] + self.memo[marks]
+
+
+#: Coders of this Python worker by tokenizer file; Spark gives a worker one task after another.
+_coders: dict[str, WordIds] = {}
+
+
+def coder_of(path: str) -> WordIds:
+    if path not in _coders:
+        _coders[path] = WordIds(path)
+    return _coders[path]
 
 
 def pieces(df: DataFrame, text: str = "text", tokenizer: str | None = None, length: int = SEQUENCE,
@@ -79,7 +105,7 @@ def pieces(df: DataFrame, text: str = "text", tokenizer: str | None = None, leng
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        coder = WordIds(path)
+        coder = coder_of(path)
         for batch in batches:
             col = batch.column(len(names)).cast(pa.binary())
             for lo in range(0, batch.num_rows, 256):
