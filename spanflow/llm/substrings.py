@@ -128,7 +128,8 @@ def repeated_runs(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], text
     """(k1, k2, runs): for each text with a repeated window, the codes of all runs of repeated window starts."""
     texts = docs.select(*text_key(F.col(text)), F.col(text).alias("text"))
     found = stage(anchor_rows(texts, length, gram))
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written first: a join whose sides are both plain scans can split the rows of a very common anchor
+    again = stage(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     found = stage(found.join(again, "h"))
     classes = stage(found.groupBy("h", "around").agg(
         F.count("*").alias("n"), F.min(F.struct("k1", "k2", "run")).alias("one")))
@@ -141,7 +142,7 @@ def repeated_runs(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], text
               .groupBy("k1", "k2").agg(F.collect_list("r").alias("runs")))
     part = stage(window_rows(texts.join(extend, ["k1", "k2"]), length))
     place = F.struct("k1", "k2", "start")
-    twice = (part.groupBy("w1", "w2").agg(F.min(place).alias("lo"), F.max(place).alias("hi"),
+    twice = stage(part.groupBy("w1", "w2").agg(F.min(place).alias("lo"), F.max(place).alias("hi"),
                                           F.min("single").alias("single"))
              .where("lo != hi OR NOT single").select("w1", "w2"))
     edges = part.where("single").join(twice, ["w1", "w2"]).select("k1", "k2", (F.col("start") * 32).alias("run"))
