@@ -43,7 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
                             F.col("doc_id.k2").alias("__k2")).distinct())
     rows = docs.select("*", *[k.alias(f"__{n}") for n, k in zip(("t1", "t2"), text_key(F.col("text")))])
     on = rows["doc_id"].eqNullSafe(bad["__d"]) & (rows["__t1"] == bad["__k1"]) & (rows["__t2"] == bad["__k2"])
-    return rows.join(bad, on, "left_anti").select(*docs.columns)
+    return rows.join(bad.hint("merge"), on, "left_anti").select(*docs.columns)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -260,7 +260,8 @@ def join_sets(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], id_colum
                 yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
 
     work = stage(jobs.repartition("job").sortWithinPartitions("job").mapInArrow(needed, _JOB))
-    one_text = texts.select("k1", "k2", "text").join(work.select("k1", "k2").distinct(), ["k1", "k2"]) \
+    # a merge join at every size: the list of needed texts grows with the input
+    one_text = texts.select("k1", "k2", "text").join(work.select("k1", "k2").distinct().hint("merge"), ["k1", "k2"]) \
         .dropDuplicates(["k1", "k2"])
     loaded = work.join(one_text, ["k1", "k2"]).select(*names, "text")
 
