@@ -33,7 +33,8 @@ def sketches(items: DataFrame, item_id: str = "item_id", text: str = "text", shi
     """
     words = items.select(F.col(item_id).alias("item_id"), words_column(F.col(text)).alias("__w")).distinct()
     out = words.where(F.size("__w") >= shingle).select("item_id", F.expr(
-        f"array_distinct(transform(sequence(0, size(__w) - {shingle}), i -> array_join(slice(__w, i + 1, {shingle}), ' ')))"
+        f"array_distinct(transform(sequence(0, greatest(size(__w) - {shingle}, 0)), "
+        f"i -> array_join(slice(__w, i + 1, {shingle}), ' ')))"
     ).alias("shingles"))
     out = out.withColumn("n_item", F.size("shingles"))
     out = out.withColumn("need", F.ceil(F.lit(containment) * F.col("n_item") - 1e-9).cast("int"))
@@ -86,7 +87,7 @@ def _search(docs: DataFrame, found: DataFrame, doc_id: str, text: str, shingle:
     hits = d.select("doc_id", "__w", "__n", F.explode_outer("__h").alias("h")).where(F.col("h") <= bound)
     probe = found.select("item_id", F.explode("sketch").alias("h"))
     exact = found.select("item_id", "shingles", "n_item")
-    text_run = f"transform(sequence(0, __n - 1), i -> array_join(slice(__w, i + 1, {shingle}), ' '))"
+    text_run = f"transform(sequence(0, greatest(__n, 1) - 1), i -> array_join(slice(__w, i + 1, {shingle}), ' '))"
     return (hits.join(F.broadcast(probe), "h")
             .join(F.broadcast(exact), "item_id")
             .withColumn("n_shared", F.expr(f"size(array_intersect(shingles, {text_run}))"))

@@ -91,12 +91,12 @@ def signatures(texts: DataFrame, shingle: int = SHINGLE, tokens: int = TOKENS) -
                         x *= _U32(0x85EBCA6B)
                         x ^= x >> _U32(13)
                         sig[some, t] = np.minimum.reduceat(x, first[some])
-                flat = pa.array(sig.view(np.int32).ravel())
-                offs = pa.array(np.arange(n + 1, dtype=np.int32) * tokens, mask=np.r_[size == 0, False])
+                flat = pa.array(sig[some].view(np.int32).ravel())
+                offs = pa.array(np.r_[0, np.cumsum(size > 0) * tokens].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(lo, n) for i in range(len(names))]
                     + [pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(ids.tobytes())]).cast(pa.binary()),
-                       pa.array(size), pa.ListArray.from_arrays(offs, flat)],
+                       pa.array(size), pa.ListArray.from_arrays(offs, flat, mask=pa.array(size == 0))],
                     names=[*names, "set_id", "n_set", "tokens"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
@@ -148,18 +148,24 @@ def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _values(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of the lists of a column, and their values one after the other."""
+    lists = column.combine_chunks()
+    off = lists.offsets.to_numpy()
+    return np.diff(off), lists.values.slice(off[0], off[-1] - off[0])
+
+
 def _new_pairs(table: pa.Table, agree: int):
     """For each job in ``table`` its (first row, rows, x, y): pairs that meet here first and may be similar."""
     job = table.column("job").to_numpy()
     n_runs = int(max(1, np.max(table.column("run").to_numpy()) + 1)) if len(job) else 1
     before = np.zeros((len(job), n_runs), dtype=np.int64)
-    nodes = table.column("nodes").combine_chunks()
-    row = np.repeat(np.arange(len(job)), nodes.value_lengths().to_numpy())
-    flat = nodes.flatten()
-    r, p = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+    lengths, nodes = _values(table.column("nodes"))
+    row = np.repeat(np.arange(len(job)), lengths)
+    r, p = (x.to_numpy() for x in nodes.flatten())
     ok = r < n_runs
     before[row[ok], r[ok]] = p[ok]
-    sig = table.column("tokens").combine_chunks().flatten().to_numpy().reshape(len(job), -1)
+    sig = _values(table.column("tokens"))[1].to_numpy().reshape(len(job), -1)
     run, side = table.column("run").to_numpy(), table.column("side").to_numpy()
     cuts = np.flatnonzero(np.r_[True, job[1:] != job[:-1], True])
     for a, b in zip(cuts[:-1], cuts[1:]):
