@@ -2,9 +2,10 @@
 
 The catalogue is a long table ``(editor, command_id, pattern, reduces)``: the
 regex of a shortcut in the run string and the task categories it reduces
-(``Delete``, ``Navigation`` or both).  Counting is one broadcast equi-join on
-``editor`` and a regex count whose pattern is a column; category totals are a
-conditional aggregation, so no column is ever named after a data value.
+(``Delete``, ``Navigation`` or both).  Counting is an equi-join on ``editor``
+and a regex count whose pattern is a column; Spark broadcasts the catalogue
+where it measures it small.  Category totals are a conditional aggregation, so
+no column is ever named after a data value.
 """
 
 from __future__ import annotations
@@ -16,14 +17,10 @@ from pyspark.sql import functions as F
 
 RUN_KEYS = ["user_id", "editor", "task_runs"]
 CATALOGUE_SCHEMA = "editor string, command_id string, pattern string, reduces string"
-# Broadcast bound for an in-memory catalogue (rows are known before the job).
-MAX_BROADCAST_ROWS = 100_000
 
 
 def catalogue_frame(spark: SparkSession, rows: Sequence[tuple[str, str, str, str]]) -> DataFrame:
-    if len(rows) > MAX_BROADCAST_ROWS:
-        raise ValueError("catalogue too large to broadcast; pass it as a table")
-    return F.broadcast(spark.createDataFrame(list(rows), CATALOGUE_SCHEMA))
+    return spark.createDataFrame(list(rows), CATALOGUE_SCHEMA)
 
 
 def count_commands(runs: DataFrame, catalogue: DataFrame, keys: Sequence[str] = RUN_KEYS,
@@ -34,14 +31,15 @@ def count_commands(runs: DataFrame, catalogue: DataFrame, keys: Sequence[str] =
     return j.select(*keys, "command_id", "reduces", F.regexp_count(F.col(text), F.col("pattern")).alias("n"))
 
 
-def by_category(counts: DataFrame, categories: dict[str, str] | None = None,
+def by_category(runs: DataFrame, counts: DataFrame, categories: dict[str, str] | None = None,
                 keys: Sequence[str] = RUN_KEYS) -> DataFrame:
-    """Per run: sum of counts of the commands whose ``reduces`` contains each
-    category word (nulls count as 0)."""
+    """Per row of ``runs``: sum of ``counts`` of the commands whose ``reduces``
+    contains each category word; 0 for a run without any command."""
     categories = categories or {"del_commands": "Delete", "nav_commands": "Navigation"}
-    aggs = [F.coalesce(F.sum(F.when(F.col("reduces").contains(word), F.col("n"))), F.lit(0)).cast("long").alias(name)
-            for name, word in categories.items()]
-    return counts.groupBy(*keys).agg(*aggs)
+    aggs = [F.sum(F.when(F.col("reduces").contains(word), F.col("n"))).alias(name) for name, word in categories.items()]
+    sums = counts.groupBy(*keys).agg(*aggs)
+    return runs.select(*keys).join(sums, list(keys), "left").select(
+        *keys, *[F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name) for name in categories])
 
 
 def category_counts(rows: Sequence[tuple[str, str, str, str]], categories: dict[str, str] | None = None,
@@ -51,11 +49,9 @@ def category_counts(rows: Sequence[tuple[str, str, str, str]], categories: dict[
     editor whose ``reduces`` contains the category word (0 when none).
 
     Same numbers as :func:`count_commands` + :func:`by_category`, without a
-    join, so a run table can be extended in place instead of being joined
+    join (use those for a catalogue too long for an expression), so a run table can be extended in place instead of being joined
     back to its own aggregate.
     """
-    if len(rows) > MAX_BROADCAST_ROWS:
-        raise ValueError("catalogue too large for column expressions; use count_commands")
     categories = categories or {"del_commands": "Delete", "nav_commands": "Navigation"}
     out = {}
     for name, word in categories.items():

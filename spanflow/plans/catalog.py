@@ -183,7 +183,7 @@ def task_runs_q(spark, sf_dir):
            CAST(coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w, 0) AS DOUBLE) / 1e6 AS time_diff
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def time_gap_q(spark, sf_dir):
-    ev = files.spread(read_table(spark, sf_dir, "events"))
+    ev = read_table(spark, sf_dir, "events")
     ev = ev.select("event_id", "user_id", epoch_us("ts", ev.schema["ts"].dataType).alias("t_us"))
     out = time_gap(ev, ["user_id"], t="t_us", tie="event_id")
     return out.select("event_id", "user_id", "t_us", "gap_us", seconds("gap_us").alias("time_diff"))
@@ -238,7 +238,7 @@ def positive_duration_q(spark, sf_dir):
 
 @register("recode_events", recode.recode_sql())
 def recode_events_q(spark, sf_dir):
-    keys = recode.raw_keys(files.spread(read_table(spark, sf_dir, "events")))
+    keys = recode.raw_keys(read_table(spark, sf_dir, "events"))
     return recode.recode_events(keys, recode.keycodes_frame(spark))
 
 
@@ -273,10 +273,10 @@ def composite_lookup_key_q(spark, sf_dir):
 @register("fill_nulls", """
     SELECT c.c_custkey, c.c_mktsegment, coalesce(o.o_orderkey, 0) AS o_orderkey,
            coalesce(o.o_totalprice, 0) AS o_totalprice, o.o_orderstatus
-    FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderpriority = '1-URGENT'""")
+    FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey""")
 def fill_nulls_q(spark, sf_dir):
     c = read_table(spark, sf_dir, "customer")
-    o = read_table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    o = read_table(spark, sf_dir, "orders")
     j = c.join(o, c.c_custkey == o.o_custkey, "left")
     j = j.select("c_custkey", "c_mktsegment", "o_orderkey", "o_totalprice", "o_orderstatus")
     return feat.fill_numeric(j, 0, ["o_orderkey", "o_totalprice"])
@@ -319,7 +319,7 @@ def command_counts_q(spark, sf_dir):
 def commands_by_category_q(spark, sf_dir):
     from spanflow.operators.commands import by_category
     runs = ordered_concat(cleaning.run_events(K(spark, sf_dir)))
-    return by_category(runfeatures.command_counts(spark, runs))
+    return by_category(runs, runfeatures.command_counts(spark, runs))
 
 
 @register("task_flags", "WITH " + runfeatures.run_metrics_ctes("all") + """

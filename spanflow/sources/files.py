@@ -33,17 +33,3 @@ def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwr
     one task and is meant for small results only."""
     out = df.coalesce(1) if single_file else df
     out.write.mode(mode).option("header", header).csv(path)
-
-
-def spread(df: DataFrame, parallelism: int | None = None) -> DataFrame:
-    """Deal the rows of an under-split scan over the available cores.
-
-    A small input stored as one file with one row group is read by a single
-    task, and everything up to the first shuffle (code expansion, partial
-    aggregation) would then run on one core.  When the scan yields fewer
-    splits than ``parallelism`` (default: the context's), rows are dealt
-    round-robin; inputs with at least that many splits - every large input -
-    are returned unchanged, so no shuffle is added at scale.
-    """
-    target = parallelism or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -29,14 +29,3 @@ def test_jdbc_options_partitioned_and_pushed_predicate():
 def test_jdbc_options_reject_bad_partitioning():
     with pytest.raises(ValueError):
         jdbc_options("jdbc:x", "t", partition=Partitioning("id", 10, 1, 4))
-
-
-def test_spread_only_touches_under_split_inputs(spark):
-    from spanflow.sources.files import spread
-    one = spark.range(0, 1000, 1, 1)
-    assert spread(one, 4).rdd.getNumPartitions() == 4
-    many = spark.range(0, 1000, 1, 8)
-    out = spread(many, 4)
-    assert out.rdd.getNumPartitions() == 8
-    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
-    assert sorted(r[0] for r in spread(one, 4).collect()) == list(range(1000))
