@@ -52,16 +52,20 @@ def run_rows(ev: DataFrame, keys: Sequence[str] = RUN_KEYS, t: str = "t_us", tie
 
 # Items of the per-run stream, written as SQL lambdas (one expression each).
 _NULLS = "'t', CAST(NULL AS BIGINT), 'seq', CAST(NULL AS BIGINT)"
+# Run columns travel inside the run item, so the generator copies no run string per event.
+_NO_RUN = ("'key_string', CAST(NULL AS STRING), 'n_events', CAST(NULL AS BIGINT), "
+           "'first_us', CAST(NULL AS BIGINT), 'last_us', CAST(NULL AS BIGINT)")
 _EVENT_ITEMS = (f"transform(evs, (x, i) -> named_struct('typ', 'E', 'grp', {EVENT_CODE}, 'idx', i, 't', x.t, "
-                "'seq', x.seq, 'len', length(x.tok), 'ml', CAST(NULL AS INT), 'key_event', x.tok))")
+                "'seq', x.seq, 'len', length(x.tok), 'ml', CAST(NULL AS INT), 'key_event', x.tok, " + _NO_RUN + "))")
 _RUN_ITEM = (f"array(named_struct('typ', 'R', 'grp', {RUN_CODE}, 'idx', -1, {_NULLS}, 'len', 0, "
-             "'ml', CAST(NULL AS INT), 'key_event', CAST(NULL AS STRING)))")
+             "'ml', CAST(NULL AS INT), 'key_event', CAST(NULL AS STRING), 'key_string', key_string, 'n_events', n_events, "
+             "'first_us', first_us, 'last_us', last_us))")
 
 
 def _span_items(code: int, g: str, m: str) -> str:
     return (f"transform(arrays_zip({g}, {m}), (z, i) -> named_struct('typ', 'S', 'grp', {code}, 'idx', i, "
             f"{_NULLS}, 'len', length(z.{g}) + length(z.{m}), 'ml', length(z.{m}), "
-            "'key_event', CAST(NULL AS STRING)))")
+            f"'key_event', CAST(NULL AS STRING), {_NO_RUN}))")
 
 
 _MARKERS = """CASE typ
@@ -87,8 +91,7 @@ def episode_stream(runs: DataFrame, keys: Sequence[str] = RUN_KEYS,
     x = runs.select(*keys, *run_cols, "evs", *regex_cols)
     items = ", ".join([_EVENT_ITEMS] + [_span_items(codes[n], f"_g{codes[n]}", f"_m{codes[n]}") for n in patterns]
                       + [_RUN_ITEM])
-    x = x.select(*keys, *run_cols, F.expr(f"explode(concat({items}))").alias("_it"))
-    x = x.select(*keys, F.col("_it.*"), *[F.expr(f"CASE WHEN _it.typ = 'R' THEN {c} END").alias(c) for c in run_cols])
+    x = x.select(*keys, F.expr(f"explode(concat({items}))").alias("_it")).select(*keys, "_it.*")
 
     # Offsets: running length sum per (run, group) in item order.
     w1 = (Window.partitionBy(*keys, "grp").orderBy("idx")
@@ -100,11 +103,11 @@ def episode_stream(runs: DataFrame, keys: Sequence[str] = RUN_KEYS,
     x = x.select(*keys, *carried, F.expr(f"explode({_MARKERS})").alias("_m"))
     x = x.select(*keys, *carried, F.col("_m.pos").alias("last_index"), F.col("_m.kind").alias("_kind"),
                  F.col("_m.v").alias("_v"))
-    w2 = (Window.partitionBy(*keys).orderBy("last_index", "_kind")
+    w2 = (Window.partitionBy(*keys).orderBy("last_index", "_kind", "idx")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     x = x.withColumns({f"in_{p}": F.sum(F.expr(f"CASE WHEN grp = {codes[p]} THEN _v ELSE 0 END")).over(w2) > 0
                        for p in patterns})
-    return x.filter(F.col("typ") != "S").drop("grp", "_kind", "_v")
+    return x.filter(F.col("typ") != "S").drop("grp", "_v")
 
 
 def stream_islands(stream: DataFrame, keys: Sequence[str] = RUN_KEYS,
@@ -121,7 +124,7 @@ def stream_islands(stream: DataFrame, keys: Sequence[str] = RUN_KEYS,
     """
     keys = list(keys)
     fams = list(families)
-    w = Window.partitionBy(*keys).orderBy("last_index")
+    w = Window.partitionBy(*keys).orderBy("last_index", "_kind", "idx")
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     flags = {f"is_{fam}": F.expr("(" + " OR ".join(f"in_{p}" for p in pats) + ") AND typ = 'E'")
              for fam, pats in families.items()}

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from spanflow.functions.metrics import RUN_GAP_US
 
 BUCKET = "_sf_bucket"
+DAY_US = 86_400_000_000
 
 
 def bucket_of(t: str, gap_us: int) -> F.Column:
@@ -90,8 +91,11 @@ def assign_runs(df: DataFrame, keys: Sequence[str] = ("user_id", "editor"),
 
 
 def time_gap(df: DataFrame, keys: Sequence[str], t: str = "t_us", tie: str | None = None,
-             gap_col: str = "gap_us", gap_us: int = RUN_GAP_US) -> DataFrame:
-    """Microseconds since the previous event of the same key (0 for the first)."""
-    out = assign_runs(df, keys, t=t, tie=tie, gap_us=gap_us, run_col="_sf_run",
+             gap_col: str = "gap_us", bucket_us: int = DAY_US) -> DataFrame:
+    """Microseconds since the previous event of the same key (0 for the first).
+
+    The gap holds for any bucket width; a window holds ``bucket_us`` of one key,
+    and the summary one row per active bucket."""
+    out = assign_runs(df, keys, t=t, tie=tie, gap_us=bucket_us, run_col="_sf_run",
                       gap_col=gap_col, new_col=None, row_col=None)
     return out.drop("_sf_run")

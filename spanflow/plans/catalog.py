@@ -221,8 +221,9 @@ def distinct_strata_q(spark, sf_dir):
 @register("duration_range", "WITH " + oracle.run_penalties_ctes("all") + """
     SELECT user_id, editor, task_runs, task_time FROM rp WHERE task_time >= 10 AND task_time < 900""")
 def duration_range_q(spark, sf_dir):
-    rp = cleaning.run_penalties(K(spark, sf_dir), "all")
-    return feat.duration_range(rp).select(*RUN_KEYS, "task_time")
+    runs = ordered_concat(cleaning.run_events(K(spark, sf_dir)))
+    r = runs.withColumn("task_time", seconds(F.col("last_us") - F.col("first_us")))
+    return feat.duration_range(r).select(*RUN_KEYS, "task_time")
 
 
 @register("positive_duration", "WITH " + oracle.runs_ctes() + """
@@ -360,7 +361,7 @@ def model_features_q(spark, sf_dir):
     JOIN (SELECT * FROM mf WHERE is_in_task_nav = 1) n
       ON d.user_id = n.user_id AND d.editor = n.editor AND d.task_runs = n.task_runs""")
 def both_tasks_q(spark, sf_dir):
-    mf = runfeatures.model_features(spark, sf_dir)
+    mf = tables.stage(runfeatures.model_features(spark, sf_dir))
     d = mf.filter(F.col("is_in_task_del") == 1)
     n = mf.filter(F.col("is_in_task_nav") == 1).select(*RUN_KEYS, "penalty_del", "penalty_nav")
     return feat.both_tasks(d, n)
@@ -431,7 +432,7 @@ def holdout_q(spark, sf_dir):
            FROM mf WHERE is_in_task_del = 1)
     SELECT company, user_id, editor, task_runs, penalty_del FROM s0 WHERE rn <= round_even(0.5 * n, 0)""")
 def stratified_runs_q(spark, sf_dir):
-    mf = runfeatures.model_features(spark, sf_dir).filter(F.col("is_in_task_del") == 1)
+    mf = tables.stage(runfeatures.model_features(spark, sf_dir).filter(F.col("is_in_task_del") == 1))
     s = stratified(mf, ["company", "user_id", "editor"], ["user_id", "editor", "task_runs"], 0.5, 2018)
     return s.select("company", "user_id", "editor", "task_runs", "penalty_del")
 

@@ -9,6 +9,7 @@ events by run key.  Everything after that stays in the run's partition.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanflow.operators.episodes import (episode_stream, island_table, run_penalty_table, run_rows,
                                          stream_islands)
@@ -41,6 +42,13 @@ def islands(k: DataFrame, mode: str = "all") -> DataFrame:
     return island_table(stream_islands(episodes(k, mode)))
 
 
-def run_penalties(k: DataFrame, mode: str = "all") -> DataFrame:
-    """Run table with task time, per-family penalties and percentages."""
-    return run_penalty_table(stream_islands(episodes(k, mode)))
+def run_penalties(k: DataFrame, mode: str = "all", min_us: int = 1, max_us: int | None = None) -> DataFrame:
+    """Run table with task time, per-family penalties and percentages, of runs
+    that last ``min_us <= task time < max_us``.  Other runs leave before the
+    regex, explode and sort steps."""
+    runs = run_table(k)
+    task_us = F.col("last_us") - F.col("first_us")
+    runs = runs.filter(task_us >= min_us)
+    if max_us is not None:
+        runs = runs.filter(task_us < max_us)
+    return run_penalty_table(stream_islands(episode_stream(runs, first_only=(mode == "first"))))

@@ -44,11 +44,14 @@ KEYCODES = [
     ("kbd - a", "DELETE"),
 ]
 SINCE = "2024-01-03"
+# Columns of a raw key log that are carried through unchanged.
+CARRIED = ["email", "company", "date_joined", "x_coord", "y_coord", "keyboard_language"]
+COMPANIES = ["north", "south", "east"]
 
 
 def raw_keys(events: DataFrame) -> DataFrame:
     """Reference-shaped key rows: user_id_id, event_id, key_no, time, device,
-    app, keyval (null for mouse), event_type."""
+    app, keyval (null for mouse), event_type and the ``CARRIED`` columns."""
     acts = None
     for et, lst in ACTIONS.items():
         arr = F.array(*[F.struct(F.lit(k).cast("string").alias("keyval"), F.lit(kind).alias("kind"))
@@ -58,13 +61,21 @@ def raw_keys(events: DataFrame) -> DataFrame:
     x = events.select(F.col("user_id").alias("user_id_id"), "event_id", F.col("ts").alias("time"),
                       F.element_at(titles, (F.col("event_id") % len(TITLES) + 1).cast("int")).alias("app"),
                       F.posexplode(acts).alias("key_no", "_a"))
+    user, mouse = F.col("user_id_id"), F.col("_a.keyval").isNull()
+    companies = F.array(*[F.lit(c) for c in COMPANIES])
     return x.select("user_id_id", "event_id", "key_no", "time", F.lit(DEVICE).alias("device"), "app",
-                    F.col("_a.keyval").alias("keyval"), F.col("_a.kind").alias("event_type"))
+                    F.col("_a.keyval").alias("keyval"), F.col("_a.kind").alias("event_type"),
+                    F.concat(F.lit("u"), user.cast("string"), F.lit("@example.org")).alias("email"),
+                    F.element_at(companies, (user % len(COMPANIES) + 1).cast("int")).alias("company"),
+                    F.date_add(F.lit("2023-01-01").cast("date"), (user % 365).cast("int")).alias("date_joined"),
+                    F.when(mouse, F.col("event_id") % 1920).alias("x_coord"),
+                    F.when(mouse, F.col("event_id") % 1080).alias("y_coord"),
+                    F.when(user % 2 == 0, "es").otherwise("en").alias("keyboard_language"))
 
 
 def keycodes_frame(spark: SparkSession) -> DataFrame:
-    # In-memory code table: its size is known before the job, so broadcasting is safe.
-    return F.broadcast(spark.createDataFrame(KEYCODES, "keyval string, new string"))
+    """The code table; a join broadcasts it only when its size is under the threshold."""
+    return spark.createDataFrame(KEYCODES, "keyval string, new string")
 
 
 def recode_events(keys: DataFrame, codes: DataFrame, since: str = SINCE,
@@ -72,14 +83,16 @@ def recode_events(keys: DataFrame, codes: DataFrame, since: str = SINCE,
     """Classify the editor, build the lookup key, keep rows after ``since`` in
     a known editor, attach the code (rows whose code is DELETE or missing
     drop out) and add calendar parts and the event token.  ``id_cols`` are
-    carried through (a stable row id serves as the tie-breaker ``seq``)."""
+    carried through (a stable row id serves as the tie-breaker ``seq``), and so
+    are the ``CARRIED`` columns that ``keys`` has."""
     k = keys.withColumns({"editor": classify_editor("app"),
                           "keyval": composite_key("device", "keyval", null_col="keyval")})
     k = k.filter((F.col("time") > F.lit(since)) & (F.col("editor") != EDITOR_DEFAULT))
     j = k.join(codes, on="keyval", how="left")
     out = j.select(F.col("user_id_id").alias("user_id"), *id_cols, "time", "device",
                    *[c.alias(n) for n, c in calendar_columns("time").items()],
-                   "editor", "event_type", F.col("new").alias("event"))
+                   "editor", "event_type", F.col("new").alias("event"),
+                   *[c for c in CARRIED if c in keys.columns])
     # Null codes fail the comparison too, so the left join acts as an inner one.
     out = out.filter(F.col("event") != "DELETE")
     return out.withColumn("key_event", event_token("event", "event_type"))
@@ -100,7 +113,13 @@ def recode_sql() -> str:
     raw AS (
       SELECT e.user_id AS user_id_id, e.event_id, CAST(a.key_no AS INTEGER) AS key_no, e.ts AS time,
              '{DEVICE}' AS device, list_extract({titles}, CAST(e.event_id % {len(TITLES)} + 1 AS INTEGER)) AS app,
-             CAST(a.keyval AS VARCHAR) AS keyval, a.kind AS event_type
+             CAST(a.keyval AS VARCHAR) AS keyval, a.kind AS event_type,
+             'u' || CAST(e.user_id AS VARCHAR) || '@example.org' AS email,
+             list_extract({COMPANIES!r}, CAST(e.user_id % {len(COMPANIES)} + 1 AS INTEGER)) AS company,
+             DATE '2023-01-01' + CAST(e.user_id % 365 AS INTEGER) AS date_joined,
+             CASE WHEN a.keyval IS NULL THEN e.event_id % 1920 END AS x_coord,
+             CASE WHEN a.keyval IS NULL THEN e.event_id % 1080 END AS y_coord,
+             CASE WHEN e.user_id % 2 = 0 THEN 'es' ELSE 'en' END AS keyboard_language
       FROM events e JOIN acts a ON e.event_type = a.event_type),
     k AS (
       SELECT *, CASE {rules} ELSE '{EDITOR_DEFAULT}' END AS editor,
@@ -113,7 +132,7 @@ def recode_sql() -> str:
            CAST(year(time) AS INTEGER) AS year, CAST(month(time) AS INTEGER) AS month,
            CAST(day(time) AS INTEGER) AS day, CAST(hour(time) AS INTEGER) AS hours,
            CAST(minute(time) AS INTEGER) AS minutes, CAST(second(time) AS INTEGER) AS seconds,
-           editor, event_type, event,
+           editor, event_type, event, {", ".join(CARRIED)},
            CASE WHEN event_type = 'up' THEN event || 'U' WHEN event_type = 'down' THEN event || 'D'
                 ELSE event END AS key_event
     FROM j WHERE event <> 'DELETE'"""

@@ -14,7 +14,7 @@ from spanflow.functions.metrics import MAX_TASK_S, MIN_TASK_S
 from spanflow.operators.commands import catalogue_frame, category_counts, count_commands
 from spanflow.operators.features import (LOCAL_ZONE, add_calendar, add_log_penalties, add_task_flags,
                                          add_usage_flags,
-                                         duration_range, fill_numeric, join_people)
+                                         fill_numeric, join_people)
 from spanflow.plans import cleaning, oracle
 from spanflow.plans.keystream import load_key_events, read_table
 
@@ -63,10 +63,10 @@ def command_sql_ctes() -> str:
       FROM cc GROUP BY user_id, editor, task_runs)"""
 
 
-def run_metrics(spark: SparkSession, sf_dir: str, mode: str = "all") -> DataFrame:
+def run_metrics(spark: SparkSession, sf_dir: str, mode: str = "all", **duration) -> DataFrame:
     """Run penalties with the canonical names used downstream and command totals."""
     k = load_key_events(spark, sf_dir)
-    rp = cleaning.run_penalties(k, mode)
+    rp = cleaning.run_penalties(k, mode, **duration)
     return rp.withColumns(category_counts(COMMANDS))
 
 
@@ -90,7 +90,7 @@ CALENDAR_COLS = ["task_day", "task_month", "task_year", "task_dayweek", "used_co
 def model_features(spark: SparkSession, sf_dir: str, mode: str = "all") -> DataFrame:
     """Runs of 10-900 s with log penalties, people, command totals, task
     flags, nulls filled with 0 and local calendar features."""
-    rm = duration_range(run_metrics(spark, sf_dir, mode), "task_time", MIN_TASK_S, MAX_TASK_S)
+    rm = run_metrics(spark, sf_dir, mode, min_us=MIN_TASK_S * 1_000_000, max_us=MAX_TASK_S * 1_000_000)
     rm = add_log_penalties(rm)
     ppl = people(spark, sf_dir)
     rm = add_task_flags(join_people(rm, ppl))
