@@ -204,7 +204,7 @@ def _with_eta(df: DataFrame, parts, out: str) -> DataFrame:
 
 
 def fit_poisson_enet(train: DataFrame, label: str, features: str = "features", alpha: float = 0.5,
-                     lam: float = 0.01, max_iter: int = 50, tol: float = 1e-9) -> PoissonModel:
+                     lam: float = 0.01, max_iter: int = 50, tol: float = 1e-7) -> PoissonModel:
     """Poisson regression with an elastic-net penalty on ``round(label)``.
 
     Minimises ``mean(mu - y * eta) + lam * (alpha * |b|_1 + (1 - alpha) / 2 *
@@ -251,7 +251,7 @@ def fit_poisson_enet(train: DataFrame, label: str, features: str = "features", a
             reg = l1 + l2
             m = LinearRegression(featuresCol="_xs", labelCol="_z", weightCol="_w", regParam=reg,
                                  elasticNetParam=l1 / reg if reg else 0.0, standardization=False, fitIntercept=True,
-                                 maxIter=1000, tol=1e-12, solver="l-bfgs").fit(work)
+                                 maxIter=200, tol=1e-8, solver="l-bfgs").fit(work)
             new0, new = float(m.intercept), [float(v) for v in m.coefficients]
             step = F.col("_new") - F.col("_eta")
             both = _with_eta(_with_eta(base, parts, "_eta"), [(1.0, m)], "_new")
