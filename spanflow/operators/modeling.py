@@ -204,14 +204,15 @@ def _with_eta(df: DataFrame, parts, out: str) -> DataFrame:
 
 
 def fit_poisson_enet(train: DataFrame, label: str, features: str = "features", alpha: float = 0.5,
-                     lam: float = 0.01, max_iter: int = 50, tol: float = 1e-7) -> PoissonModel:
+                     lam: float = 0.01, max_iter: int = 50, tol: float = 1e-7, inner_iter: int = 50) -> PoissonModel:
     """Poisson regression with an elastic-net penalty on ``round(label)``.
 
     Minimises ``mean(mu - y * eta) + lam * (alpha * |b|_1 + (1 - alpha) / 2 *
     |b|_2^2)`` over the intercept and the coefficients ``b`` of features scaled
     once to unit standard deviation.  Every iteration fits a weighted elastic-net
     linear regression of the working response ``z = eta + (y - mu) / mu`` with
-    weights ``mu``, by the same solver at every width.  That solver divides
+    weights ``mu``, by the same solver at every width, in at most ``inner_iter``
+    passes.  That solver divides
     the L2 part by the standard deviation of its label, which is undone here.
     A step that does not lower the penalised objective is halved; one more pass
     gives the objective of all halvings.  ``converged`` tells whether the relative
@@ -251,7 +252,7 @@ def fit_poisson_enet(train: DataFrame, label: str, features: str = "features", a
             reg = l1 + l2
             m = LinearRegression(featuresCol="_xs", labelCol="_z", weightCol="_w", regParam=reg,
                                  elasticNetParam=l1 / reg if reg else 0.0, standardization=False, fitIntercept=True,
-                                 maxIter=200, tol=1e-8, solver="l-bfgs").fit(work)
+                                 maxIter=inner_iter, tol=1e-8, solver="l-bfgs").fit(work)
             new0, new = float(m.intercept), [float(v) for v in m.coefficients]
             step = F.col("_new") - F.col("_eta")
             both = _with_eta(_with_eta(base, parts, "_eta"), [(1.0, m)], "_new")
