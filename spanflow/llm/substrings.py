@@ -146,7 +146,9 @@ def repeated_runs(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], text
                                           F.min("single").alias("single"))
              .where("lo != hi OR NOT single").select("w1", "w2"))
     edges = part.where("single").join(twice, ["w1", "w2"]).select("k1", "k2", (F.col("start") * 32).alias("run"))
-    return whole.unionByName(edges).groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"))
+    # copies of a text share all their codes: one of each is kept, so a list is no longer than its text
+    once = whole.unionByName(edges).distinct()
+    return once.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], text: str = "text",
@@ -162,7 +164,8 @@ def remove_repeats(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], tex
     """
     out = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "kept_sha256")]
     carried = docs.select(*out, F.col(text).alias("__text"))
-    runs = repeated_runs(docs, stage, text, length, gram)
+    # written first, so that the join can split the copies of a very common text
+    runs = stage(repeated_runs(docs, stage, text, length, gram))
     keyed = carried.select("*", *[k.alias(f"__{n}") for n, k in zip(("k1", "k2"), text_key(F.col("__text")))])
     joined = keyed.join(runs.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs")),
                         ["__k1", "__k2"], "left").select(*out, "__text", "__runs")
