@@ -1,14 +1,17 @@
 """N-gram Jaccard self join by chosen paths.
 
 Every text is the set of its five-word shingles.  Texts with equal sets are one
-set from the start.  A run is a random tree: at each node one coordinate of the
-sets' MinHash signature, that is one sampled shared token, splits the node's
+set from the start.  A run is a random tree: at each level one coordinate of the
+sets' MinHash signature, that is one sampled shared token, splits the nodes'
 sets by their token there.  A node of at most ``leaf`` sets is not split
 further; neither is one at ``max_depth``.  Leaves are compared by brute force.
 
-A pair of similarity J meets in a leaf of depth d with probability J ** d.  Runs
-are repeated, for the sets that need it, until every pair at the threshold has
-met with the target probability.
+No two levels or runs share a coordinate, so runs are independent: a pair of
+similarity J agrees on the first d tokens of a run with probability J ** d, and
+then meets there unless its path goes deeper than d.  A set whose deepest path
+so far has depth d is done after so many runs that a pair at the threshold has
+agreed d times with the target probability.  (The depth of a single path tells
+less: paths by tokens that a set has for itself end early and meet nothing.)
 
 No pair is ever written out.  A pair belongs to the first run in which it
 shares a leaf; there it is verified on whole texts and counted.  A leaf yields,
@@ -19,6 +22,7 @@ pairs of blocks are tasks of bounded size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,9 +41,8 @@ RECALL = 0.9999
 LEAF = 64
 MAX_DEPTH = 6
 RUNS = 8
-MAX_RUNS = 64
 BLOCK = 256
-#: A pair is verified if at least so many of the 32 sampled tokens agree; at the threshold, fewer do in 1 of 10**7 pairs.
+#: A pair is verified if at least so many of the first 32 sampled tokens agree; at the threshold, fewer do in 1 of 10**7 pairs.
 AGREE = 12
 
 _U = np.uint64
@@ -103,12 +106,27 @@ def signatures(texts: DataFrame, shingle: int = SHINGLE, tokens: int = TOKENS) -
     return texts.mapInArrow(run, schema + ", set_id binary, n_set long, tokens array<int>")
 
 
+def runs_needed(threshold: float, recall: float, max_depth: int) -> list[int]:
+    """Number of runs after which a set whose deepest path has depth 1, 2, ... ``max_depth`` is done.
+
+    Each depth may miss its share of 1 - recall, so that all together miss no more.
+    """
+    return [RUNS * math.ceil(math.log((1 - recall) / max_depth) / math.log(1 - threshold ** d) / RUNS)
+            for d in range(1, max_depth + 1)]
+
+
 def leaves(sets: DataFrame, stage: Callable[[DataFrame], DataFrame], first_run: int, runs: int,
            leaf: int, max_depth: int) -> DataFrame:
-    """One row per set and run: (set_id, run, path, depth, n): the node where its path ended, and its number of sets."""
+    """One row per set and run: (set_id, run, path, depth, n): the node where its path ended, and its number of sets.
+
+    ``tokens`` of ``sets`` has ``max_depth`` tokens for each of these runs, one run after the other.
+    """
     run = F.explode(F.sequence(F.lit(first_run), F.lit(first_run + runs - 1))).alias("run")
-    root = F.element_at("tokens", F.col("run") % F.size("tokens") + 1)
-    live = sets.select("set_id", "tokens", run).select("set_id", "run", F.xxhash64(F.lit(0), "run", root).alias("path"))
+
+    def token(level):
+        return F.element_at("tokens", (F.col("run") - first_run) * max_depth + level)
+
+    live = sets.select("set_id", "tokens", run).select("set_id", "run", F.xxhash64(F.lit(0), "run", token(1)).alias("path"))
     done = []
     for depth in range(1, max_depth + 1):
         live = stage(live)
@@ -121,9 +139,8 @@ def leaves(sets: DataFrame, stage: Callable[[DataFrame], DataFrame], first_run:
         done.append(held.where(F.col("n") <= leaf))
         if big.isEmpty():
             break
-        token = F.element_at("tokens", (F.pmod(F.xxhash64(F.lit(1), "path"), F.size("tokens").cast("long")) + 1).cast("int"))
         live = big.join(sets.select("set_id", "tokens"), "set_id").select(
-            "set_id", "run", F.xxhash64("path", token).alias("path"))
+            "set_id", "run", F.xxhash64("path", token(depth + 1)).alias("path"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -219,22 +236,29 @@ def join_sets(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], id_colum
     each other and of nothing else.  Null ids come first, as the least.
     """
     texts = docs.select(F.col(id_column).alias("id"), *text_key(F.col(text)), F.col(text).alias("text"))
-    rows = stage(signatures(texts, shingle))
+    enough = runs_needed(threshold, recall, max_depth)
+    rows = stage(signatures(texts, shingle, max(TOKENS, enough[-1] * max_depth)))
     sets = stage(rows.groupBy("set_id").agg(
         F.count("*").alias("copies"), F.min("id").alias("least_id"), F.max(F.col("id").isNull()).alias("no_id"),
         F.min(F.struct("k1", "k2")).alias("k"), F.first("tokens").alias("tokens")))
-    sized = sets.where("tokens IS NOT NULL").select("set_id", "tokens")
 
-    found, todo, first, depths = [], sized, 0, None
-    while first < MAX_RUNS:
+    def sized(first):
+        """The sets that have tokens, with those of the runs from ``first`` on."""
+        return sets.where("tokens IS NOT NULL").select(
+            "set_id", F.slice("tokens", first * max_depth + 1, RUNS * max_depth).alias("tokens"))
+
+    found, todo, first, depths = [], sized(0), 0, None
+    while True:
         ended = stage(leaves(todo, stage, first, RUNS, leaf, max_depth))
         found.append(ended.where("n > 1"))
-        # a pair at the threshold has not met yet with this probability, in logarithms
-        missed = ended.groupBy("set_id").agg(F.sum(F.log(1 - F.pow(F.lit(threshold), "depth") + 1e-12)).alias("m"))
-        depths = missed if depths is None else depths.unionByName(missed)
+        deepest = ended.groupBy("set_id").agg(F.max("depth").alias("depth"))
+        depths = deepest if depths is None else depths.unionByName(deepest)
         first += RUNS
-        short = depths.groupBy("set_id").agg(F.sum("m").alias("m")).where(F.col("m") > float(np.log(1 - recall)))
-        todo = stage(sized.join(short.select("set_id"), "set_id"))
+        if first >= enough[-1]:
+            break
+        short = depths.groupBy("set_id").agg(F.max("depth").alias("depth")).where(
+            F.col("depth") > sum(n <= first for n in enough))
+        todo = stage(sized(first).join(short.select("set_id"), "set_id"))
         if todo.isEmpty():
             break
     met = found[0]
@@ -244,7 +268,7 @@ def join_sets(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], id_colum
     blocks_of = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("set_id"), F.col("b").cast("long")).cast("int")
     members = (met.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("run", "path", "n"))).alias("all"))
-               .join(sets.select("set_id", "copies", "k.k1", "k.k2", "tokens"), "set_id"))
+               .join(sets.select("set_id", "copies", "k.k1", "k.k2", F.slice("tokens", 1, TOKENS).alias("tokens")), "set_id"))
     jobs = (members.select("*", F.explode("all").alias("at"), F.expr("transform(all, x -> struct(x.run, x.path))").alias("nodes"))
             .select("set_id", "copies", "k1", "k2", "tokens", "nodes", "at.run", "at.path", "at.n")
             .withColumn("b", F.when(F.col("n") <= leaf, 1).otherwise(blocks_of)).withColumn("mine", mine)

@@ -93,6 +93,25 @@ def test_jaccard_join_with_dense_leaves_in_blocks(spark):
     assert got == want
 
 
+def test_jaccard_join_recall_near_the_threshold_in_deep_trees(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):  # pairs of similarity 0.804 or little more
+        w = [f"t{j}" for j in range(280)]
+        for j in rng.sample(range(1, 55), 3):
+            w[5 * j] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in similarity.join_sets(df, stage, leaf=8).collect()}
+    sets = [{tuple(w[i:i + 5]) for i in range(276)} for w in (t.split() for _, t in rows)]
+    want = {i: sum(len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in sets) - 1 for i, a in enumerate(sets)}
+    assert all(got[i] <= want[i] for i in want)
+    pairs, lost = sum(want.values()) / 2, sum(want[i] - got[i] for i in want) / 2
+    assert pairs == 300 * 299 / 2 and lost <= 2 * (1 - similarity.RECALL) * pairs, lost
+    enough = similarity.runs_needed(0.8, 0.9999, 6)
+    assert sum((1 - 0.8 ** d) ** n for d, n in enumerate(enough, 1)) <= 0.0001
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (102, 101), (7, 7), (200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), stage).collect()}
