@@ -93,7 +93,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         scan("email")
     if "=" in text or ":" in text:
         for m in PATTERNS["secret"].finditer(text):
-            found.append((m.start(1), m.end(1), "secret", m.group(1)))
+            if any(c.isalpha() or c.isascii() and c.isdigit() for c in m.group(1)):  # a mask of other characters hides nothing
+                found.append((m.start(1), m.end(1), "secret", m.group(1)))
     if "AKIA" in text or "ASIA" in text:
         scan("aws")
     if _DIGITS.search(text):
@@ -161,19 +162,24 @@ class Source:
 
 
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
-    """The canonical surrogate of a canonical entity; another one for each attempt."""
+    """The canonical surrogate of a canonical entity; another one for each attempt.
+
+    A format may have no free surrogate left, so every eighth attempt adds a character or widens an address.
+    """
     src = Source(key, kind, entity, attempt)
+    wide = attempt // 8
+    more = "0" * wide
     if kind == "email":
         local, domain = entity.split("@")
         body, top = domain.rsplit(".", 1)
-        return src.like(local) + "@" + Source(key, "domain", domain, attempt // 8).like(body) + "." + top
+        return src.like(local + "a" * wide) + "@" + Source(key, "domain", domain, attempt // 8).like(body) + "." + top
     if kind == "phone":
         if entity.startswith("+"):
             code = max(1, len(entity) - 11)
-            return entity[:1 + code] + str(2 + src.below(8)) + src.like(entity[2 + code:])
-        return str(2 + src.below(8)) + src.like(entity[1:])
+            return entity[:1 + code] + str(2 + src.below(8)) + src.like(entity[2 + code:] + more)
+        return str(2 + src.below(8)) + src.like(entity[1:] + more)
     if kind == "card":
-        body = entity[0] + src.like(entity[1:-1])
+        body = entity[0] + src.like(entity[1:-1] + more)
         valid = luhn(entity) == 0
         check = next(str(d) for d in range(10) if luhn(body + str(d)) == 0)
         return body + (check if valid else str((int(check) + 1 + src.below(9)) % 10))
@@ -181,6 +187,11 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         octets = [int(o) for o in entity.split(".")]
         keep = 1 if octets[0] in (10, 127) else 2 if octets[:2] in ([192, 168],) or (
             octets[0] == 172 and 16 <= octets[1] < 32) else 0
+        if wide:  # any octets of the same block; then of the largest private block, then of the public ones
+            if wide > 2 or not keep:
+                return ".".join(str(o) for o in (11 + src.below(116), src.below(256), src.below(256), src.below(256)))
+            kept = octets[:keep] if wide == 1 else [10]
+            return ".".join(str(o) for o in kept + [src.below(256) for _ in range(4 - len(kept))])
         low, high = {1: (0, 9), 2: (10, 99), 3: (100, 254)}, entity.split(".")
         out = [str(o) if i < keep else str(max(1 if i == 0 else 0, low[len(high[i])][0]) + src.below(
             low[len(high[i])][1] - low[len(high[i])][0] + (0 if i == 0 and len(high[i]) == 1 else 1)))
@@ -189,14 +200,14 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     if kind == "aws":
         return entity[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[src.below(32)] for _ in entity[4:])
     if kind == "iban":
-        body = "".join(str(src.below(10)) if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[src.below(26)] for c in entity[4:])
+        body = "".join(str(src.below(10)) if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[src.below(26)] for c in entity[4:] + more)
         check = 98 - int("".join(str(int(c, 36)) for c in body + entity[:2]) + "00") % 97
         return f"{entity[:2]}{check:02d}{body}"
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+", entity):
-            return "".join("0123456789abcdef"[src.below(16)] for _ in entity)
-        new = src.like(entity)
-        return "".join(n.upper() if o.isupper() else n for o, n in zip(entity, new))
+            return "".join("0123456789abcdef"[src.below(16)] for _ in entity + more)
+        new = src.like(entity + "a" * wide)
+        return "".join(n.upper() if o.isupper() else n for o, n in zip(entity, new)) + new[len(entity):]
     if kind.startswith("given:"):
         _, gender, letters = kind.split(":")
         names = GIVEN[gender, letters]
@@ -207,14 +218,14 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     if kind.startswith("family:"):
         parts = SYLLABLES[kind[7:]]
         return "".join(parts[src.below(len(parts))] for _ in range(2 + (len(entity) > 6) + attempt // 4))
-    return src.like(entity)
+    return src.like(entity + more)
 
 
 def laid_out(kind: str, original: str, new: str) -> str:
     """The canonical surrogate ``new`` in the format of the text it replaces."""
     if kind in ("phone", "card", "ssn", "iban"):
         chars = iter(new)
-        return "".join(c if c in " ().-" else next(chars) for c in original)
+        return "".join(c if c in " ().-" else next(chars) for c in original) + "".join(chars)
     if kind.startswith(("given:", "family:")):
         if len(original) > 1 and original.isupper():
             return new.upper()

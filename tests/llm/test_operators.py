@@ -181,6 +181,22 @@ def test_surrogates_stay_distinct(spark, docs, empty):
     assert pii.replace_entities(empty, b"k", stage).count() == 0
 
 
+def test_surrogates_where_a_format_has_none_left(spark):
+    masks = "password: ******** token=...... pwd='²²²²²²'"
+    assert pii.find(masks) == [] and pii.rewrite(masks, b"k", {}) == (masks, 0)
+    rows = [(i, f"from 192.168.{i // 8}.{i % 8} on") for i in range(64)] + [(100, masks), (101, "mail ___@___.de now")]
+    rows += [(200 + i, f"token=-----{i} x") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = {r["doc_id"]: r["text"] for r in pii.replace_entities(df, b"k", stage).collect()}
+    old = [t.split()[1] if i < 200 else t.split()[0] for i, t in rows if i != 100]
+    new = [out[i].split()[1] if i < 200 else out[i].split()[0] for i, _ in rows if i != 100]
+    assert len(set(new)) == len(new) == 75 and not set(old) & set(new) and out[100] == masks
+    assert all(n.startswith("192.168.") and pii.PATTERNS["ip"].fullmatch(n) for n in new[:64])
+    for kind, e in (("phone", "+15551234567"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000")):
+        late = pii.surrogate(b"k", kind, e, 8)
+        assert len(late) == len(e) + 1 and pii.laid_out(kind, e, late) == late
+
+
 def test_url_rules_and_ratio(spark):
     rows = [(1, "https://A.Example.ORG/es/1?x"), (2, "http://example.org/en/19#t"), (3, "http://x.com/fr/"),
             (4, "http://com/de/a"), (5, "ftp://notexample.org"), (6, None), (7, "no scheme"), (8, "http://xorg/"),
