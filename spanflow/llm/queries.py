@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanflow.llm import decontamination, formatting, lm, packing, pii, quality, resampling, sharding, similarity, \
-    substrings, urls
+from spanflow.llm import (collocations, credentials, decontamination, formatting, lm, packing, pii, quality, resampling,
+                          sharding, similarity, substrings, urls)
 from spanflow.sources.tables import stage
 
 #: Key of the surrogates in the registered query; a real run passes its own secret.
@@ -83,12 +83,23 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                "n_repeat_words", "base_failed", "kept")
 
 
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"), stage)
+    return found.withColumnRenamed("language", "lang")
+
+
 def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     drawn = resampling.resample(docs, table(spark, sf_dir, "benchmark").select("text"), stage, keep=["doc_id"])
     return drawn.select("row.doc_id", "n_features", "weight", "score", "rank")
 
 
+def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = credentials.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), stage, keep=["doc_id"])
+    return credentials.digest(scanned).select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess",
+                                              "n_values")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join,
     "op2_pii_surrogates": pii_surrogates,
@@ -100,7 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontaminate,
     "op9_chat_formatting": chat_formatting,
     "op10_quality_rules": quality_rules,
+    "op11_phrase_collocations": phrase_collocations,
     "op12_importance_resampling": importance_resampling,
+    "op13_secret_scans": secret_scans,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -197,5 +210,6 @@ SQL: dict[str, str] = {
     "op8_decontamination": decontamination.SQL,
     "op9_chat_formatting": _formatting_sql(),
     "op10_quality_rules": _quality_sql(),
+    "op11_phrase_collocations": collocations.sql(),
     "op12_importance_resampling": resampling.sql(),
 }
