@@ -16,7 +16,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,8 +193,7 @@ def scan(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], text: str = "
     source = docs.select(F.struct(*columns).alias("row"), F.col(text).alias("text"))
     row_type = source.schema["row"].dataType.simpleString()
 
-    def find(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, values = [], []
             for t in batch.column(1).to_pylist():
@@ -239,21 +238,24 @@ def value_costs(texts: DataFrame, values: DataFrame, stage: Callable[[DataFrame]
     words = stage(counted.unionByName(inside).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
     total = words.agg(F.sum("n")).first()[0] or 1
 
-    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for k1, k2, value in zip(f["k1"], f["k2"], f["value"]):
-                yield pd.DataFrame({"k1": k1, "k2": k2, "word": sorted(pieces(value))}, columns=["k1", "k2", "word"])
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k1, k2, value in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found = sorted(pieces(value))
+                yield pa.RecordBatch.from_arrays([pa.array([k1] * len(found), pa.int64()), pa.array([k2] * len(found), pa.int32()),
+                                                  pa.array(found, pa.string())], names=["k1", "k2", "word"])
 
-    known = (distinct.select("k1", "k2", "value").mapInPandas(explode, "k1 long, k2 int, word string").join(words, "word")
+    known = (distinct.select("k1", "k2", "value").mapInArrow(explode, "k1 long, k2 int, word string").join(words, "word")
              .groupBy("k1", "k2").agg(F.collect_list(F.struct("word", "n")).alias("known")))
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            cost = [guess_cost(v, {w["word"]: math.log10(total / w["n"]) for w in (k if k is not None else ())})
-                    for v, k in zip(f["value"], f["known"])]
-            yield pd.DataFrame({"k1": f["k1"], "k2": f["k2"], "cost": cost})
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cost = [guess_cost(v, {w["word"]: math.log10(total / w["n"]) for w in k or ()})
+                    for v, k in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cost, pa.float64())], names=["k1", "k2", "cost"])
 
-    return distinct.select("k1", "k2", "value").join(known, ["k1", "k2"], "left").mapInPandas(judge, "k1 long, k2 int, cost double")
+    return distinct.select("k1", "k2", "value").join(known, ["k1", "k2"], "left").select("k1", "k2", "value", "known").mapInArrow(
+        judge, "k1 long, k2 int, cost double")
 
 
 def digest(scanned: DataFrame) -> DataFrame:
