@@ -37,11 +37,11 @@ SCALE = 2_000_000
 #: Capacity of a summary, in multiples of mass / threshold; a larger one lets fewer infrequent n-grams stay.
 SLACK = 4
 #: Mean mass of a hash partition aimed at, and bounds of the number of leading bits that name one.
-PART_MASS = 1 << 22
+PART_MASS = 1 << 21
 PART_BITS = (6, 20)
 FILTER_BITS = 27
 #: Bytes of text, hashes sorted at once, and hashes of a chunk.
-_BLOCK, _SORTED, _CHUNK = 2 << 20, 1 << 23, 1 << 10
+_BLOCK, _SORTED, _CHUNK = 1 << 19, 1 << 21, 1 << 10
 
 _BREAK = byte_set(*[(ord(c), ord(c)) for c in ".,;:!?"], (0x0A, 0x0D))
 _GAP = _BREAK | byte_set((0x20, 0x20), (0x09, 0x09))
