@@ -2,14 +2,16 @@
 
 The catalogue is a long table ``(editor, command_id, pattern, reduces)``: the
 regex of a shortcut in the run string and the task categories it reduces
-(``Delete``, ``Navigation`` or both).  Counting is an equi-join on ``editor``
-and a regex count whose pattern is a column; Spark broadcasts the catalogue
-where it measures it small.  Category totals are a conditional aggregation, so
-no column is ever named after a data value.
+(``Delete``, ``Navigation`` or both).  It travels as one constant map from editor
+to its patterns, in pieces of a checked size, so runs are counted where they are:
+no join and no shuffle on ``editor``, which has few values and would skew.
+Only commands that occur make a row.  Category totals are a conditional
+aggregation, so no column is ever named after a data value.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +25,39 @@ def catalogue_frame(spark: SparkSession, rows: Sequence[tuple[str, str, str, str
     return spark.createDataFrame(list(rows), CATALOGUE_SCHEMA)
 
 
+_ENTRY = "struct<command_id:string,pattern:string,reduces:string>"
+
+
+def _pieces(catalogue: DataFrame, piece_bytes: int) -> list[dict[str, list[dict]]]:
+    """The catalogue as maps from editor to commands, each of at most about ``piece_bytes``."""
+    size = F.octet_length(F.concat_ws("", "editor", "command_id", "pattern", "reduces")) + 64
+    total = catalogue.agg(F.sum(size)).first()[0] or 0
+    n = max(1, -(-total // piece_bytes))
+    numbered = catalogue.withColumn("_piece", F.pmod(F.xxhash64("editor", "command_id", "pattern"), F.lit(n)))
+    out = []
+    for i in range(n):  # one piece at a time is on the driver
+        piece: dict[str, list[dict]] = {}
+        for r in numbered.where(F.col("_piece") == i).orderBy("editor", "command_id", "pattern").collect():
+            piece.setdefault(r["editor"], []).append({"command_id": r["command_id"], "pattern": r["pattern"], "reduces": r["reduces"]})
+        out.append(piece)
+    return out
+
+
 def count_commands(runs: DataFrame, catalogue: DataFrame, keys: Sequence[str] = RUN_KEYS,
-                   text: str = "key_string") -> DataFrame:
-    """One row per (run, command of the run's editor): ``n`` = non-overlapping
-    matches of the command pattern in the run string."""
-    j = runs.select(*keys, text).join(catalogue, on="editor", how="inner")
-    return j.select(*keys, "command_id", "reduces", F.regexp_count(F.col(text), F.col("pattern")).alias("n"))
+                   text: str = "key_string", piece_bytes: int = 4 << 20) -> DataFrame:
+    """One row per (run, command of the run's editor) that occurs: ``n`` = non-overlapping
+    matches of the command pattern in the run string.
+
+    A catalogue of more than ``piece_bytes`` is counted in several passes over the runs.
+    """
+    out = None
+    for piece in _pieces(catalogue, piece_bytes):
+        commands = F.from_json(F.lit(json.dumps(piece)), f"map<string, array<{_ENTRY}>>")
+        x = runs.select(*keys, F.col(text).alias("_text"), commands[F.col("editor")].alias("_commands"))
+        found = F.expr("filter(transform(_commands, c -> struct(c.command_id, c.reduces, regexp_count(_text, c.pattern) AS n)), c -> c.n > 0)")
+        part = x.select(*keys, F.explode(found).alias("_c")).select(*keys, "_c.command_id", "_c.reduces", "_c.n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def by_category(runs: DataFrame, counts: DataFrame, categories: dict[str, str] | None = None,

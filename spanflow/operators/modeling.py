@@ -1,13 +1,10 @@
-"""Regression models and their evaluation (Spark ML)."""
+"""Evaluation of regression models."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,275 +15,3 @@ def regression_metrics(df: DataFrame, pred: str, label: str, group: Sequence[str
     aggs = [F.sqrt(F.avg(e * e)).alias("rmse"), F.pow(F.corr(pred, label), 2).alias("rsquared"),
             F.avg(F.abs(e)).alias("mae"), F.count(F.lit(1)).alias("n")]
     return df.groupBy(*group).agg(*aggs) if group else df.agg(*aggs)
-
-
-# ---------------------------------------------------------------------------
-# Models.  Fits are Spark ML estimators; the driver only sees parameters,
-# coefficients and metrics, never the rows.
-
-from pyspark import StorageLevel  # noqa: E402
-from pyspark.ml import Pipeline  # noqa: E402
-from pyspark.ml.evaluation import RegressionEvaluator  # noqa: E402
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler  # noqa: E402
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor,  # noqa: E402
-                                   GeneralizedLinearRegression, LinearRegression)
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder  # noqa: E402
-
-# Cross-validation folds and repeats, sampling seed, and the
-# split-criterion grid 0.10, 0.15, ..., 0.95 used for the tree models.
-CV_FOLDS = 10
-CV_REPEATS = 5
-SEED = 2018
-TREE_GRID = [round(0.10 + 0.05 * i, 2) for i in range(18)]
-# Spark's own defaults for single trees, stated.
-TREE_DEPTH = 5
-TREE_BINS = 32
-
-
-def feature_pipeline(numeric: Sequence[str], categorical: Sequence[str], out: str = "features") -> Pipeline:
-    """Index and one-hot encode the categorical columns (unseen levels map to
-    an extra bucket) and assemble them with the numeric ones."""
-    idx = [f"{c}__idx" for c in categorical]
-    ohe = [f"{c}__ohe" for c in categorical]
-    stages = [StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep"),
-              OneHotEncoder(inputCols=idx, outputCols=ohe, handleInvalid="keep"),
-              VectorAssembler(inputCols=list(numeric) + ohe, outputCol=out, handleInvalid="keep")]
-    return Pipeline(stages=stages)
-
-
-def feature_names(df: DataFrame, col: str = "features") -> list[str]:
-    """Slot names of an assembled vector column (from its ML attributes)."""
-    meta = df.schema[col].metadata.get("ml_attr", {})
-    slots = []
-    for group in meta.get("attrs", {}).values():
-        slots.extend(group)
-    return [a.get("name", str(a["idx"])) for a in sorted(slots, key=lambda a: a["idx"])]
-
-
-def repeated_cv(estimator, grid, df: DataFrame, label: str, folds: int = CV_FOLDS,
-                repeats: int = CV_REPEATS, seed: int = SEED, parallelism: int = 4,
-                metric: str = "rmse"):
-    """``repeats`` k-fold cross-validations with different fold seeds.
-
-    Returns ``(best_param_map, table)`` where ``table`` lists every grid point
-    with its metric averaged over all folds of all repeats.
-    """
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
-    sums = [0.0] * len(grid)
-    for r in range(repeats):
-        cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
-                            seed=seed + r, parallelism=parallelism)
-        m = cv.fit(df)
-        sums = [s + a for s, a in zip(sums, m.avgMetrics)]
-    means = [s / repeats for s in sums]
-    best = min(range(len(grid)), key=lambda i: means[i]) if ev.isLargerBetter() is False else \
-        max(range(len(grid)), key=lambda i: means[i])
-    rows = [({p.name: v for p, v in g.items()}, means[i]) for i, g in enumerate(grid)]
-    return grid[best], rows
-
-
-def _pruned_predictions(node, grid: Sequence[float]) -> list[list[float]]:
-    """Per leaf (in the order of Spark's leaf index) its prediction at every
-    threshold of ``grid``: that of the first node on its path whose split gains
-    less than the threshold, else its own."""
-    out = []
-
-    def walk(n, fixed):
-        if n.getClass().getSimpleName() == "LeafNode":
-            out.append([n.prediction() if f is None else f for f in fixed])
-            return
-        gain, here = n.gain(), n.prediction()
-        fixed = [here if f is None and gain < g else f for f, g in zip(fixed, grid)]
-        walk(n.leftChild(), fixed)
-        walk(n.rightChild(), fixed)
-
-    walk(node, [None] * len(grid))
-    return out
-
-
-def tree_cv(df: DataFrame, label: str, features: str = "features", grid: Sequence[float] = TREE_GRID,
-            folds: int = CV_FOLDS, repeats: int = CV_REPEATS, seed: int = SEED, parallelism: int = 8) -> list[float]:
-    """Mean RMSE of the tree at every ``minInfoGain`` of ``grid`` over
-    ``repeats`` k-fold cross-validations.
-
-    Trees grow greedily, node by node, so the tree of a larger threshold is the
-    one of the least threshold cut back at the splits that gain too little.  One
-    fit per fold therefore serves the whole grid, and one aggregate per leaf of
-    the held-out rows gives the error at all thresholds.  Folds are drawn row by
-    row; a fold without rows (tiny inputs) has no error and is left out.
-    """
-    y = F.col(label).cast("double")
-
-    def errors(marked: DataFrame, f: int) -> list[float] | None:
-        m = fit_tree(marked.where(F.col("_fold") != f), label, features, minInfoGain=min(grid))
-        at = _pruned_predictions(m._java_obj.rootNode(), grid)
-        leaves = m.setLeafCol("_leaf").transform(marked.where(F.col("_fold") == f)).groupBy("_leaf").agg(
-            F.count(y).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")).collect()  # at most 2 ** depth rows
-        n = sum(x["n"] for x in leaves)
-        if not n:
-            return None
-        return [math.sqrt(max(sum(x["q"] + p[i] * (x["n"] * p[i] - 2 * x["s"]) for x in leaves for p in [at[int(x["_leaf"])]]),
-                              0.0) / n) for i in range(len(grid))]
-
-    marked = df.select(F.col(features), F.col(label), *[F.floor(F.rand(seed + r) * folds).cast("int").alias(f"_fold{r}")
-                                                        for r in range(repeats)]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        with ThreadPool(parallelism) as pool:
-            got = pool.starmap(lambda r, f: errors(marked.withColumnRenamed(f"_fold{r}", "_fold"), f),
-                               [(r, f) for r in range(repeats) for f in range(folds)])
-    finally:
-        marked.unpersist()
-    got = [g for g in got if g]
-    return [sum(g[i] for g in got) / len(got) for i in range(len(grid))]
-
-
-def tuned_tree(train: DataFrame, label: str, features: str = "features", grid: Sequence[float] = TREE_GRID, **cv):
-    """The tree fitted at the grid value of least cross-validated RMSE (the
-    largest such value, the smaller tree): ``(model, value, table)``."""
-    table = tree_cv(train, label, features, grid, **cv)
-    best = max(range(len(grid)), key=lambda i: (-table[i], grid[i]))
-    return fit_tree(train, label, features, minInfoGain=grid[best]), grid[best], list(zip(grid, table))
-
-
-def tree_grid(dt: DecisionTreeRegressor, values: Sequence[float] = TREE_GRID):
-    """Grid over ``minInfoGain`` (a variance-reduction threshold; the closest
-    Spark counterpart of a split-acceptance criterion)."""
-    return ParamGridBuilder().addGrid(dt.minInfoGain, list(values)).build()
-
-
-def fit_tree(train: DataFrame, label: str, features: str = "features", **params):
-    """Regression tree; depth and bins are ``TREE_DEPTH`` and ``TREE_BINS`` unless given."""
-    params = {"maxDepth": TREE_DEPTH, "maxBins": TREE_BINS} | params
-    dt = DecisionTreeRegressor(featuresCol=features, labelCol=label, seed=SEED, **params)
-    return dt.fit(train)
-
-
-def fit_gbt(train: DataFrame, label: str, features: str = "features", max_iter: int = 50,
-            max_depth: int = 3, step_size: float = 0.3, subsampling_rate: float = 1.0):
-    gbt = GBTRegressor(featuresCol=features, labelCol=label, maxIter=max_iter, maxDepth=max_depth,
-                       stepSize=step_size, subsamplingRate=subsampling_rate, seed=SEED)
-    return gbt.fit(train)
-
-
-@dataclass
-class PoissonModel:
-    """A fitted Poisson regression: ``intercept`` and ``coefficients`` on the
-    features as given, ``scaled`` on features of unit standard deviation.
-
-    ``parts`` are weighted linear models on scaled features whose sum is the
-    linear predictor (one part unless a step was halved)."""
-
-    intercept: float
-    coefficients: list[float]
-    scaled: list[float]
-    iterations: int
-    converged: bool
-    parts: list
-    scaler: object
-
-    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        """``df`` with the predicted mean."""
-        return _with_eta(self.scaler.transform(df), self.parts, "_eta").withColumn(out, F.exp("_eta")).drop("_eta", "_xs")
-
-
-def _with_eta(df: DataFrame, parts, out: str) -> DataFrame:
-    """Sum of the weighted parts; the dot products are those of the fitted models, sparse and in the JVM."""
-    total = F.lit(0.0)
-    names = []
-    for i, (weight, m) in enumerate(parts):
-        if isinstance(m, float):
-            total = total + F.lit(weight * m)
-            continue
-        names.append(f"_part{i}")
-        df = m.setFeaturesCol("_xs").setPredictionCol(names[-1]).transform(df)
-        total = total + F.lit(weight) * F.col(names[-1])
-    return df.withColumn(out, total).drop(*names)
-
-
-def fit_poisson_enet(train: DataFrame, label: str, features: str = "features", alpha: float = 0.5,
-                     lam: float = 0.01, max_iter: int = 50, tol: float = 1e-7, inner_iter: int = 50) -> PoissonModel:
-    """Poisson regression with an elastic-net penalty on ``round(label)``.
-
-    Minimises ``mean(mu - y * eta) + lam * (alpha * |b|_1 + (1 - alpha) / 2 *
-    |b|_2^2)`` over the intercept and the coefficients ``b`` of features scaled
-    once to unit standard deviation.  Every iteration fits a weighted elastic-net
-    linear regression of the working response ``z = eta + (y - mu) / mu`` with
-    weights ``mu``, by the same solver at every width, in at most ``inner_iter``
-    passes.  That solver divides
-    the L2 part by the standard deviation of its label, which is undone here.
-    A step that does not lower the penalised objective is halved; one more pass
-    gives the objective of all halvings.  ``converged`` tells whether the relative
-    change fell below ``tol`` within ``max_iter`` iterations.
-
-    Rows with a null label are left out; without a positive label there is no
-    finite optimum, and a ValueError is raised.
-    """
-    base = train.select(F.bround(F.col(label), 0).cast("double").alias("_y"), F.col(features)).where("_y IS NOT NULL")
-    scaler = StandardScaler(inputCol=features, outputCol="_xs", withMean=False, withStd=True).fit(base)
-    base = scaler.transform(base).select("_y", "_xs").persist(StorageLevel.MEMORY_AND_DISK)
-    sd = scaler.std.toArray()
-    try:
-        n, ybar = base.agg(F.count(F.lit(1)), F.avg("_y")).first()
-        if not n or ybar <= 0:
-            raise ValueError("no positive label: the Poisson mean has no finite optimum")
-        parts, b0, b = [(1.0, math.log(ybar))], math.log(ybar), [0.0] * len(sd)
-
-        def penalty(c):
-            return lam * sum(alpha * abs(v) + (1 - alpha) / 2 * v * v for v in c)
-
-        def loss(eta: Column) -> Column:
-            return F.avg(F.exp(eta) - F.col("_y") * eta)
-
-        halvings = [0.5 ** i for i in range(31)]
-        objective = ybar - ybar * b0
-        it, converged = 0, False
-        while it < max_iter and not converged:
-            it += 1
-            work = _with_eta(base, parts, "_eta").withColumn("_w", F.exp("_eta")).withColumn(
-                "_z", F.col("_eta") + F.col("_y") / F.col("_w") - 1)
-            sw, sww, swz, swzz = work.agg(F.sum("_w"), F.sum(F.col("_w") * F.col("_w")), F.sum(F.col("_w") * F.col("_z")),
-                                          F.sum(F.col("_w") * F.col("_z") * F.col("_z"))).first()
-            spread = sw - sww / sw
-            sd_z = math.sqrt(max(swzz - swz * swz / sw, 0.0) / spread) if spread > 0 else 0.0
-            l1, l2 = lam * alpha * n / sw, lam * (1 - alpha) * n / sw * sd_z
-            reg = l1 + l2
-            m = LinearRegression(featuresCol="_xs", labelCol="_z", weightCol="_w", regParam=reg,
-                                 elasticNetParam=l1 / reg if reg else 0.0, standardization=False, fitIntercept=True,
-                                 maxIter=inner_iter, tol=1e-8, solver="l-bfgs").fit(work)
-            new0, new = float(m.intercept), [float(v) for v in m.coefficients]
-            step = F.col("_new") - F.col("_eta")
-            both = _with_eta(_with_eta(base, parts, "_eta"), [(1.0, m)], "_new")
-
-            def tried(shares):
-                """(share, coefficients, objective) of the first of these shares of the step that lowers the objective."""
-                values = both.agg(*[loss(F.col("_eta") + F.lit(h) * step).alias(f"h{i}") for i, h in enumerate(shares)]).first()
-                for h, value in zip(shares, values):
-                    mixed = [u + h * (v - u) for u, v in zip(b, new)]
-                    if value + penalty(mixed) <= objective:
-                        return h, mixed, value + penalty(mixed)
-                return None
-
-            found = tried(halvings[:1]) or tried(halvings[1:])
-            if found is None:
-                converged = True  # no step lowers the objective any more
-                break
-            h, mixed, at = found
-            converged = objective - at <= tol * (abs(at) + 0.1)
-            objective, b0, b = at, b0 + h * (new0 - b0), mixed
-            parts = [(1.0, m)] if h == 1.0 else [(w * (1 - h), p) for w, p in parts] + [(h, m)]
-        coefficients = [v / s if s else 0.0 for v, s in zip(b, sd)]
-        return PoissonModel(b0, coefficients, b, it, converged, parts, scaler)
-    finally:
-        base.unpersist()
-
-
-def fit_poisson_l2(train: DataFrame, label: str, features: str = "features", lam: float = 0.01):
-    """The alpha = 0 case with Spark's own GLM (used as a cross-check)."""
-    glr = GeneralizedLinearRegression(family="poisson", link="log", featuresCol=features, labelCol="_y",
-                                      regParam=lam, maxIter=50)
-    return glr.fit(train.withColumn("_y", F.bround(F.col(label), 0).cast("double")))
-
-
-def importance_table(spark, names: Sequence[str], values: Sequence[float], model: str):
-    rows = [(model, n, float(v)) for n, v in zip(names, values)]
-    return spark.createDataFrame(rows, "model string, feature string, importance double")

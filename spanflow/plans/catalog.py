@@ -20,7 +20,8 @@ from spanflow.functions.timefn import epoch_us, half_day, local_time, weekday
 from spanflow.operators import features as feat
 from spanflow.operators import islands as isl_ops
 from spanflow.operators.episodes import episode_stream
-from spanflow.operators.sampling import complement, stratified
+from spanflow.operators.quantiles import exact_quantiles
+from spanflow.operators.sampling import stratified, with_sample
 from spanflow.operators.sequences import end_offset, ordered_concat
 from spanflow.operators.sessionize import time_gap
 from spanflow.operators.spans import span_flags, span_rows
@@ -213,16 +214,29 @@ def ordered_concat_events_q(spark, sf_dir):
     return ordered_concat(ev, ["user_id", "day"], ("t_us", "event_id"), "event_type", sep=",")
 
 
+@register("company_strata", "WITH " + oracle.runs_ctes() + ",\n    " + runfeatures.PEOPLE_SQL + """
+    SELECT DISTINCT company, user_id, editor FROM k JOIN people USING (user_id)""")
+def company_strata_q(spark, sf_dir):
+    """Distinct (company, user, editor): the strata of the split.  Distinct before the join, so one row per user and editor is joined."""
+    strata = K(spark, sf_dir).select("user_id", "editor").distinct()
+    return strata.join(runfeatures.people(spark, sf_dir).select("user_id", "company"), "user_id").select("company", "user_id", "editor").distinct()
+
+
 @register("distinct_strata", "WITH " + oracle.runs_ctes() + "\n    SELECT DISTINCT user_id, editor FROM k")
 def distinct_strata_q(spark, sf_dir):
     return K(spark, sf_dir).select("user_id", "editor").distinct()
 
 
+def _run_times(events):
+    """First and last time of every run, without its string."""
+    return events.groupBy(*RUN_KEYS).agg(F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
+
+
 @register("duration_range", "WITH " + oracle.run_penalties_ctes("all") + """
     SELECT user_id, editor, task_runs, task_time FROM rp WHERE task_time >= 10 AND task_time < 900""")
 def duration_range_q(spark, sf_dir):
-    runs = ordered_concat(cleaning.run_events(K(spark, sf_dir)))
-    r = runs.withColumn("task_time", seconds(F.col("last_us") - F.col("first_us")))
+    r = _run_times(cleaning.run_events(K(spark, sf_dir)))
+    r = r.withColumn("task_time", seconds(F.col("last_us") - F.col("first_us")))
     return feat.duration_range(r).select(*RUN_KEYS, "task_time")
 
 
@@ -230,8 +244,8 @@ def duration_range_q(spark, sf_dir):
     SELECT user_id, editor, task_runs, CAST(last_us - first_us AS DOUBLE) / 1e6 AS task_time
     FROM runs WHERE last_us - first_us > 0""")
 def positive_duration_q(spark, sf_dir):
-    runs = ordered_concat(cleaning.run_events(K(spark, sf_dir)))
-    r = runs.withColumn("task_time", seconds(F.col("last_us") - F.col("first_us")))
+    r = _run_times(cleaning.run_events(K(spark, sf_dir)))
+    r = r.withColumn("task_time", seconds(F.col("last_us") - F.col("first_us")))
     return feat.positive_duration(r).select(*RUN_KEYS, "task_time")
 
 
@@ -243,6 +257,14 @@ def recode_events_q(spark, sf_dir):
     return recode.recode_events(keys, recode.keycodes_frame(spark))
 
 
+@register("raw_keys_to_penalties", "WITH " + oracle.run_penalties_ctes("all", k=recode.raw_key_events_sql()) + "\n    SELECT * FROM rp")
+def raw_keys_to_penalties_q(spark, sf_dir):
+    """From raw key rows with ISO text times to per-run penalties: editor, code table, time parsing, task runs, episodes, islands."""
+    keys = recode.raw_keys_as_text(read_table(spark, sf_dir, "events"))
+    rp = cleaning.run_penalties(recode.key_events_of(keys, recode.keycodes_frame(spark)))
+    return rp.select(*RUN_KEYS, "key_string", "n_events", "first_us", "last_us", "task_time", *PENALTY_COLS)
+
+
 _APP_SUFFIX = ["Eclipse", "Spring Tool Suite 4", "Visual Studio Code", "NetBeans IDE 8.2",
                "Sublime Text", "Notepad++", "Google Chrome", "Terminal"]
 _RULES_SQL = " ".join("WHEN " + " OR ".join(f"contains(app, {f!r})" for f in frags) + f" THEN {label!r}"
@@ -309,8 +331,9 @@ def round_half_even_q(spark, sf_dir):
 # --- commands and run features ----------------------------------------------------
 
 @register("command_counts", "WITH " + oracle.runs_ctes() + runfeatures.command_sql_ctes() + """
-    SELECT user_id, editor, task_runs, command_id, reduces, n FROM cc""")
+    SELECT user_id, editor, task_runs, command_id, reduces, n FROM cc WHERE n > 0""")
 def command_counts_q(spark, sf_dir):
+    """Commands that occur in a run; those that do not are not rows."""
     runs = ordered_concat(cleaning.run_events(K(spark, sf_dir)))
     return runfeatures.command_counts(spark, runs)
 
@@ -399,6 +422,26 @@ def penalty_by_usage_nav_q(spark, sf_dir):
     return feat.penalty_by_usage(mf, "nav_commands", "penalty_nav")
 
 
+PERCENTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
+
+
+def _percentiles(target):
+    flag, commands, penalty = f"is_in_task_{target}", f"{target}_commands", f"penalty_{target}"
+    columns = ", ".join(f"quantile_disc({penalty}, {q}) AS {n}" for n, q in PERCENTILES.items())
+
+    @register(f"penalty_percentiles_{target}", "WITH " + runfeatures.model_features_ctes("all") + f"""
+    SELECT {commands} AS commands, count({penalty}) AS n_values, {columns} FROM mf WHERE {flag} = 1 GROUP BY {commands}""")
+    def q(spark, sf_dir):
+        """Exact percentiles of the penalty by number of commands used."""
+        mf = tables.stage(runfeatures.model_features(spark, sf_dir).where(F.col(flag) == 1).select(F.col(commands).alias("commands"), penalty))
+        return exact_quantiles(mf, ["commands"], penalty, PERCENTILES)
+    return q
+
+
+for _t in ("del", "nav"):
+    _percentiles(_t)
+
+
 # --- sampling ---------------------------------------------------------------------
 
 _SAMPLE_SQL = """
@@ -419,9 +462,9 @@ def stratified_sample_q(spark, sf_dir):
 @register("holdout", "WITH " + _SAMPLE_SQL + """
     SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM sample)""")
 def holdout_q(spark, sf_dir):
+    """The rows outside the sample: the same column, negated, without deriving the sample again."""
     c = read_table(spark, sf_dir, "customer")
-    s = stratified(c, ["c_nationkey", "c_mktsegment"], ["c_custkey"], 0.5, 2018)
-    return complement(c, s, ["c_custkey"])
+    return with_sample(c, ["c_nationkey", "c_mktsegment"], ["c_custkey"], 0.5, 2018, "in_sample").where("NOT in_sample").drop("in_sample")
 
 
 @register("stratified_runs", "WITH " + runfeatures.model_features_ctes("all") + """,
@@ -468,6 +511,14 @@ def stage_roundtrip_q(spark, sf_dir):
     return tables.stage(n)
 
 
+@register("resumable_stage", "SELECT n_nationkey, n_name, n_regionkey, lower(n_name) AS n_lower FROM nation")
+def resumable_stage_q(spark, sf_dir):
+    """A stage that a restarted job reads instead of computing it again; two calls, the second finds the first's."""
+    n = read_table(spark, sf_dir, "nation").withColumn("n_lower", F.lower("n_name"))
+    tables.resumable(n, "nation_names")
+    return tables.resumable(n, "nation_names")
+
+
 @register("csv_roundtrip", "SELECT r_regionkey, r_name FROM region")
 def csv_roundtrip_q(spark, sf_dir):
     path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")

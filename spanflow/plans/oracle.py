@@ -19,8 +19,9 @@ FAMILY_SQL = {
 }
 
 
-def _runs_ctes() -> str:
-    return key_events_sql() + f""",
+def _runs_ctes(k: str | None = None) -> str:
+    """CTEs of runs of the key events ``k`` (a CTE list that ends in k; by default those of the test data)."""
+    return (k or key_events_sql()) + f""",
     kb AS (
       SELECT *, CASE WHEN t_us - lag(t_us) OVER (PARTITION BY user_id, editor ORDER BY t_us, seq) > {RUN_GAP_US}
                      THEN 1 ELSE 0 END AS brk,
@@ -103,7 +104,7 @@ def islands_sql(mode: str) -> str:
     FROM isln"""
 
 
-def run_penalties_ctes(mode: str, name: str = "rp") -> str:
+def run_penalties_ctes(mode: str, name: str = "rp", k: str | None = None) -> str:
     """All CTEs up to ``name``: the run penalty table (without WITH)."""
     pen = ",\n           ".join(
         f"CAST(sum(penalty_us) FILTER (WHERE family = '{f}') AS BIGINT) AS p_{f}" for f in FAMILY_SQL)
@@ -112,7 +113,7 @@ def run_penalties_ctes(mode: str, name: str = "rp") -> str:
         out.append(f"CAST(p.p_{f} AS DOUBLE) / 1e6 AS penalty_{f}")
         out.append(f"CAST(p.p_{f} * 100 AS DOUBLE) / CAST(r.last_us - r.first_us AS DOUBLE) AS percentage_{f}")
     outs = ",\n           ".join(out)
-    return _runs_ctes() + _spans_ctes(mode) + _flags_ctes() + _islands_ctes() + f""",
+    return _runs_ctes(k) + _spans_ctes(mode) + _flags_ctes() + _islands_ctes() + f""",
     pr AS (
       SELECT user_id, editor, task_runs,
            {pen}

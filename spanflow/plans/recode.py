@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanflow.functions.text import EDITOR_DEFAULT, EDITOR_RULES, classify_editor, composite_key, event_token
-from spanflow.functions.timefn import calendar_columns
+from spanflow.functions.timefn import calendar_columns, epoch_us, micros_to_ntz, parse_utc
+from spanflow.plans.keystream import CODE_STEP_US, COMPRESSION, ORIGIN_US, SEQ_STRIDE
 
 # Fixed values for the derived key table: window titles (chosen by event_id
 # modulo their count), key actions per event type, the keyboard device name,
@@ -44,6 +45,8 @@ KEYCODES = [
     ("kbd - a", "DELETE"),
 ]
 SINCE = "2024-01-03"
+# The compressed log starts on this day; its first microsecond is not after it.
+ORIGIN_DAY = "2023-12-01"
 # Columns of a raw key log that are carried through unchanged.
 CARRIED = ["email", "company", "date_joined", "x_coord", "y_coord", "keyboard_language"]
 COMPANIES = ["north", "south", "east"]
@@ -98,7 +101,33 @@ def recode_events(keys: DataFrame, codes: DataFrame, since: str = SINCE,
     return out.withColumn("key_event", event_token("event", "event_type"))
 
 
-def recode_sql() -> str:
+def raw_keys_as_text(events: DataFrame) -> DataFrame:
+    """Raw key rows of a log whose times are ISO text; event time is compressed and keys are spaced as in ``keystream``."""
+    us = epoch_us("ts", events.schema["ts"].dataType)
+    since = us - ORIGIN_US
+    close = events.withColumn("ts", micros_to_ntz(((since - F.pmod(since, F.lit(COMPRESSION))) / COMPRESSION).cast("long") + ORIGIN_US))
+    keys = raw_keys(close)
+    at = F.timestamp_add("MICROSECOND", F.col("key_no").cast("long") * CODE_STEP_US, F.col("time"))
+    return keys.withColumn("time", F.replace(at.cast("string"), F.lit(" "), F.lit("T")))
+
+
+def key_events_of(keys: DataFrame, codes: DataFrame, since: str = ORIGIN_DAY) -> DataFrame:
+    """Raw key rows with text times as key events (user_id, editor, seq, t_us, key_event)."""
+    timed = keys.withColumn("time", parse_utc("time"))
+    ev = recode_events(timed, codes, since)
+    return ev.select("user_id", "editor", (F.col("event_id") * SEQ_STRIDE + F.col("key_no")).alias("seq"),
+                     epoch_us("time", timed.schema["time"].dataType).alias("t_us"), "key_event")
+
+
+def raw_key_events_sql() -> str:
+    """The same key events as a CTE ``k`` for the DuckDB oracle."""
+    at = (f"make_timestamp({ORIGIN_US} + CAST(floor((epoch_us(e.ts) - {ORIGIN_US}) / {COMPRESSION}) AS BIGINT)"
+          f" + CAST(a.key_no AS BIGINT) * {CODE_STEP_US})")
+    return f"""recoded AS ({recode_sql(at, ORIGIN_DAY)}),
+    k AS (SELECT user_id, editor, event_id * {SEQ_STRIDE} + key_no AS seq, epoch_us(time) AS t_us, key_event FROM recoded)"""
+
+
+def recode_sql(time: str = "e.ts", since: str = SINCE) -> str:
     acts = " UNION ALL ".join(
         f"SELECT '{et}' AS event_type, {i} AS key_no, {('NULL' if k is None else repr(k))} AS keyval, '{kind}' AS kind"
         for et, lst in ACTIONS.items() for i, (k, kind) in enumerate(lst))
@@ -111,7 +140,7 @@ def recode_sql() -> str:
     WITH acts AS ({acts}),
     codes(keyval, new) AS (VALUES {codes}),
     raw AS (
-      SELECT e.user_id AS user_id_id, e.event_id, CAST(a.key_no AS INTEGER) AS key_no, e.ts AS time,
+      SELECT e.user_id AS user_id_id, e.event_id, CAST(a.key_no AS INTEGER) AS key_no, {time} AS time,
              '{DEVICE}' AS device, list_extract({titles}, CAST(e.event_id % {len(TITLES)} + 1 AS INTEGER)) AS app,
              CAST(a.keyval AS VARCHAR) AS keyval, a.kind AS event_type,
              'u' || CAST(e.user_id AS VARCHAR) || '@example.org' AS email,
@@ -127,7 +156,7 @@ def recode_sql() -> str:
       FROM raw),
     j AS (
       SELECT k.*, c.new AS event FROM k LEFT JOIN codes c ON k.lk = c.keyval
-      WHERE k.time > TIMESTAMP '{SINCE}' AND k.editor <> '{EDITOR_DEFAULT}')
+      WHERE k.time > TIMESTAMP '{since}' AND k.editor <> '{EDITOR_DEFAULT}')
     SELECT user_id_id AS user_id, event_id, key_no, time, device,
            CAST(year(time) AS INTEGER) AS year, CAST(month(time) AS INTEGER) AS month,
            CAST(day(time) AS INTEGER) AS day, CAST(hour(time) AS INTEGER) AS hours,

@@ -46,23 +46,34 @@ def get_session(master: str | None = None, app: str = "spanflow",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts.
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
-    folder of the SQL warehouse is used: it is shared storage on every cluster,
-    never a machine-local temporary folder.
+    Where that is unset, a session on one machine (master ``local``) uses a folder
+    of its SQL warehouse; on a cluster there is no folder that every executor is
+    known to see, so it is an error.
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir()
-    if d:
-        return d
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set; it must name storage that driver and executors share")
         d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    sc.setCheckpointDir(d)
-    # setCheckpointDir creates a uuid sub-folder; return the effective path.
-    return sc.getCheckpointDir() or d
+    return d.rstrip("/")
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """This application's folder for lineage cuts, under :func:`shared_root`."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_root(spark))  # creates a sub-folder
+    return sc.getCheckpointDir()
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """(Hadoop file system of a path, the path as its object)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -80,6 +91,5 @@ def drop_scratch(spark: SparkSession) -> None:
 
     Call it when no frame that reads a staged table is needed any more.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, path = file_system(spark, scratch_root(spark))
     fs.delete(path, True)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from spanflow.functions.metrics import RUN_GAP_US
 from spanflow.plans.keystream import key_events
+from spanflow.session import scratch_path
 
 
 def run_stream(k: DataFrame, gap_us: int = RUN_GAP_US, lateness: str = "10 minutes",
@@ -36,23 +37,34 @@ def run_stream(k: DataFrame, gap_us: int = RUN_GAP_US, lateness: str = "10 minut
                       F.array_join(F.transform("_evs", lambda e: e["key_event"]), "").alias("key_string"))
 
 
+def with_sentinel(events: DataFrame, folder: str) -> DataFrame:
+    """The event stream and, from a folder of its own, one event that belongs to nobody.
+
+    A session leaves the state once the watermark passes its end.  At the end of a
+    bounded replay no later event does that; a sentinel far in the future does."""
+    return events.unionByName(events.sparkSession.readStream.schema(events.schema).parquet(folder))
+
+
 def stream_runs_to_table(spark: SparkSession, sf_dir: str, lateness: str = "10 minutes") -> DataFrame:
-    """Run the stream over the ``events`` parquet folder to completion
-    (available-now trigger) into a memory table and return that table.
+    """Replay the ``events`` parquet folder as a stream (available-now trigger) into a table under the shared folder.
 
-    A live job writes ``run_stream`` in append mode (each run emitted once,
-    after the watermark passes it).  A bounded replay never advances the
-    watermark past its last sessions, so this helper uses complete mode, which
-    re-emits every run at the end of the batch."""
+    The sink appends each run once, when the watermark has passed it; nothing is
+    collected.  A last event a year after the others closes all runs; it has no
+    user, and its own run is never closed."""
     src = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     # File streams watch a folder; the filter picks the events file in it.
     events = (spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet")
                    .parquet(sf_dir.rstrip("/")))
-    runs = run_stream(key_events(events), lateness=lateness)
-    name = f"spanflow_stream_runs_{uuid.uuid4().hex[:10]}"
-    from spanflow.session import scratch_path
-    q = (runs.writeStream.outputMode("complete").format("memory").queryName(name)
-             .option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
+    name = f"stream-{uuid.uuid4().hex}"
+    last = src.agg(F.max("ts").alias("ts"))  # compressed time: a year is a thousand of its years
+    sentinel = last.select(*[(F.col("ts") + F.expr("INTERVAL '1000' YEAR")).cast(f.dataType).alias(f.name) if f.name == "ts"
+                             else F.lit("click").alias(f.name) if f.name == "event_type"
+                             else F.lit(-1).cast(f.dataType).alias(f.name) if f.name in ("event_id", "user_id")
+                             else F.lit(None).cast(f.dataType).alias(f.name) for f in src.schema.fields])
+    sentinel.write.parquet(scratch_path(spark, f"{name}-sentinel"))
+    runs = run_stream(key_events(with_sentinel(events, scratch_path(spark, f"{name}-sentinel"))), lateness=lateness)
+    q = (runs.writeStream.outputMode("append").format("parquet").option("path", scratch_path(spark, f"{name}-runs"))
+             .option("checkpointLocation", scratch_path(spark, f"{name}-state"))
              .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(runs.schema).parquet(scratch_path(spark, f"{name}-runs"))
