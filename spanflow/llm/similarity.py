@@ -44,6 +44,8 @@ RUNS = 8
 BLOCK = 256
 #: A pair is verified if at least so many of the first 32 sampled tokens agree; at the threshold, fewer do in 1 of 10**7 pairs.
 AGREE = 12
+#: Bytes of text whose shingles are hashed at once.
+_BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
 _U32 = np.uint32
@@ -76,7 +78,7 @@ def signatures(texts: DataFrame, shingle: int = SHINGLE, tokens: int = TOKENS) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, words in blocks(batch.column(len(names))):
+            for lo, hi, words in blocks(batch.column(len(names)), limit=_BLOCK_BYTES):
                 n = hi - lo
                 row, h = shingle_hashes(words.hashes(), words.rows, shingle)
                 size = np.bincount(row, minlength=n)
@@ -119,19 +121,20 @@ def leaves(sets: DataFrame, stage: Callable[[DataFrame], DataFrame], first_run:
            leaf: int, max_depth: int) -> DataFrame:
     """One row per set and run: (set_id, run, path, depth, n): the node where its path ended, and its number of sets.
 
-    ``tokens`` of ``sets`` has ``max_depth`` tokens for each of these runs, one run after the other.
+    ``tokens`` of ``sets`` has ``max_depth`` tokens for each of these runs, one run after the other.  A set's nodes
+    depend on nothing but its tokens, so all of a run's are computed at once; a level only counts them.
     """
-    run = F.explode(F.sequence(F.lit(first_run), F.lit(first_run + runs - 1))).alias("run")
-
-    def token(level):
-        return F.element_at("tokens", (F.col("run") - first_run) * max_depth + level)
-
-    live = sets.select("set_id", "tokens", run).select("set_id", "run", F.xxhash64(F.lit(0), "run", token(1)).alias("path"))
+    at = f"((r - {first_run}) * {max_depth})"
+    nodes = (f"transform(sequence({first_run}, {first_run + runs - 1}), r -> struct(r AS run, slice(aggregate("
+             f"slice(tokens, {at} + 1, {max_depth}), array(cast(r as bigint)),"
+             " (path, t) -> concat(path, array(xxhash64(element_at(path, -1), t)))), 2, "
+             f"{max_depth}) AS path))")
+    live = sets.select("set_id", F.explode(F.expr(nodes)).alias("x")).select("set_id", "x.run", "x.path")
+    live = stage(live.select("set_id", "run", F.col("path")[0].alias("node"), F.slice("path", 2, max_depth).alias("rest")))
     done = []
     for depth in range(1, max_depth + 1):
-        live = stage(live)
-        many = live.groupBy("path").agg(F.count("*").alias("n"))
-        held = live.join(many, "path").withColumn("depth", F.lit(depth))
+        many = live.groupBy("node").agg(F.count("*").alias("n"))
+        held = live.join(many, "node").withColumn("depth", F.lit(depth))
         if depth == max_depth:
             done.append(held)
             break
@@ -139,12 +142,11 @@ def leaves(sets: DataFrame, stage: Callable[[DataFrame], DataFrame], first_run:
         done.append(held.where(F.col("n") <= leaf))
         if big.isEmpty():
             break
-        live = big.join(sets.select("set_id", "tokens"), "set_id").select(
-            "set_id", "run", F.xxhash64("path", token(depth + 1)).alias("path"))
+        live = stage(big.select("set_id", "run", F.col("rest")[0].alias("node"), F.slice("rest", 2, max_depth).alias("rest")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("set_id", "run", "path", "depth", "n")
+    return out.select("set_id", "run", F.col("node").alias("path"), "depth", "n")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Table]:
@@ -237,17 +239,28 @@ def join_sets(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], id_colum
     """
     texts = docs.select(F.col(id_column).alias("id"), *text_key(F.col(text)), F.col(text).alias("text"))
     enough = runs_needed(threshold, recall, max_depth)
-    rows = stage(signatures(texts, shingle, max(TOKENS, enough[-1] * max_depth)))
+    first_tokens = max(TOKENS, RUNS * max_depth)
+    rows = stage(signatures(texts, shingle, first_tokens))
     sets = stage(rows.groupBy("set_id").agg(
         F.count("*").alias("copies"), F.min("id").alias("least_id"), F.max(F.col("id").isNull()).alias("no_id"),
-        F.min(F.struct("k1", "k2")).alias("k"), F.first("tokens").alias("tokens")))
+        F.min(F.struct("k1", "k2", "id")).alias("k"), F.first("tokens").alias("tokens")))
+
+    def one_text(which: DataFrame) -> DataFrame:
+        """(k1, k2, set_id, text) of the sets in ``which``: the text of the row that stands for the set.
+
+        The row is found by key and id, so copies of a text, which differ in id, lie in different tasks."""
+        rep = stage(which.select("set_id").join(sets.select("set_id", "k"), "set_id").select(
+            "set_id", *[F.col(f"k.{c}").alias(f"{c}_r") for c in ("k1", "k2", "id")]))
+        on = ((texts["k1"] == rep["k1_r"]) & (texts["k2"] == rep["k2_r"]) & texts["id"].eqNullSafe(rep["id_r"]))
+        # a merge join at every size: the list of texts grows with the input
+        return texts.join(rep.hint("merge"), on).select("k1", "k2", "set_id", "text").dropDuplicates(["set_id"])
 
     def sized(first):
         """The sets that have tokens, with those of the runs from ``first`` on."""
-        return sets.where("tokens IS NOT NULL").select(
-            "set_id", F.slice("tokens", first * max_depth + 1, RUNS * max_depth).alias("tokens"))
+        held, at = (sets.where("tokens IS NOT NULL"), first) if not first else (more, first)
+        return held.select("set_id", F.slice("tokens", at * max_depth + 1, RUNS * max_depth).alias("tokens"))
 
-    found, todo, first, depths = [], sized(0), 0, None
+    found, todo, first, depths, more = [], sized(0), 0, None, None
     while True:
         ended = stage(leaves(todo, stage, first, RUNS, leaf, max_depth))
         found.append(ended.where("n > 1"))
@@ -256,11 +269,14 @@ def join_sets(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], id_colum
         first += RUNS
         if first >= enough[-1]:
             break
-        short = depths.groupBy("set_id").agg(F.max("depth").alias("depth")).where(
-            F.col("depth") > sum(n <= first for n in enough))
-        todo = stage(sized(first).join(short.select("set_id"), "set_id"))
-        if todo.isEmpty():
+        short = stage(depths.groupBy("set_id").agg(F.max("depth").alias("depth")).where(
+            F.col("depth") > sum(n <= first for n in enough)).select("set_id"))
+        if short.isEmpty():
             break
+        if more is None:  # later runs concern ever fewer of these sets; only they get the tokens of all runs
+            again = signatures(one_text(short).select("k1", "k2", F.col("set_id").alias("of"), "text"), shingle, enough[-1] * max_depth)
+            more = stage(again.select(F.col("of").alias("set_id"), "tokens"))
+        todo = stage(sized(first).join(short, "set_id"))
     met = found[0]
     for f in found[1:]:
         met = met.unionByName(f)
@@ -290,10 +306,8 @@ def join_sets(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], id_colum
                 yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
 
     work = stage(jobs.repartition("job").sortWithinPartitions("job").mapInArrow(needed, _JOB))
-    # a merge join at every size: the list of needed texts grows with the input
-    one_text = texts.select("k1", "k2", "text").join(work.select("k1", "k2").distinct().hint("merge"), ["k1", "k2"]) \
-        .dropDuplicates(["k1", "k2"])
-    loaded = work.join(one_text, ["k1", "k2"]).select(*names, "text")
+    held = stage(one_text(work.select("set_id").distinct()).select("set_id", "text"))
+    loaded = work.join(held.hint("merge"), "set_id").select(*names, "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 0):
@@ -303,7 +317,7 @@ def join_sets(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], id_colum
             text_column = table.column("text").combine_chunks()
 
             def shingles(a: int, b: int) -> None:
-                for lo, hi, words in blocks(text_column.slice(a, b - a)):
+                for lo, hi, words in blocks(text_column.slice(a, b - a), limit=_BLOCK_BYTES):
                     row, h = shingle_hashes(words.hashes(), words.rows, shingle)
                     for i, part in enumerate(np.split(h, np.cumsum(np.bincount(row, minlength=hi - lo))[:-1])):
                         shingled[a + lo + i] = part
@@ -338,13 +352,14 @@ def join_sets(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], id_colum
     links = stage(loaded.repartition("job").sortWithinPartitions("job").mapInArrow(
         compare, "a binary, b binary, links long"))
     roots = components(links, stage)
-    joined = (sets.select("set_id", "copies", "least_id", "no_id")
+    # staged, so that a join can split a class or a set that holds many rows
+    joined = stage(sets.select("set_id", "copies", "least_id", "no_id")
               .join(links.groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("links")), "set_id", "left")
               .join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
               .withColumn("root", F.coalesce("root", "set_id")))
-    least = joined.groupBy("root").agg(F.when(F.max("no_id"), None).otherwise(F.min("least_id")).alias("class_id"))
-    per_set = joined.join(least, "root").select(
-        "set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "root")
+    least = stage(joined.groupBy("root").agg(F.when(F.max("no_id"), None).otherwise(F.min("least_id")).alias("class_id")))
+    per_set = stage(joined.join(least, "root").select(
+        "set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "root"))
     return rows.select("id", "k1", "k2", "set_id", "n_set").join(per_set, "set_id").select(
         F.col("id").alias(id_column), "k1", "k2", "class_id", "n_links", "n_set", F.col("root").alias("class_key"))
 
