@@ -19,20 +19,21 @@ from spanflow.llm.words import words_column
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: Sketch rows broadcast at once (16 bytes each); a larger benchmark is searched in blocks of items.
+#: Broadcast at once, in units of 16 bytes of sketches and shingles; a larger benchmark is searched in blocks of items.
 SKETCH_ROWS = 1 << 20
 
 
 def sketches(items: DataFrame, item_id: str = "item_id", text: str = "text", shingle: int = SHINGLE,
              containment: float = CONTAINMENT) -> DataFrame:
-    """One row per item with at least one shingle: id, distinct shingles, n_item, part, sketch, block.
+    """One row per item with at least one shingle: item (a hash of id and words), item_id, distinct shingles, n_item, part, sketch.
 
     ``part`` is the item's size class (powers of two).  Items of fewer words
-    than a shingle, and null texts, have none and are left out; of repeated rows
-    one is kept.
+    than a shingle, and null texts, have none and are left out: nothing tells
+    a document that copies one word of an item from one that merely uses it.  Of
+    repeated rows one is kept; a null id is an id like any other.
     """
     words = items.select(F.col(item_id).alias("item_id"), words_column(F.col(text)).alias("__w")).distinct()
-    out = words.where(F.size("__w") >= shingle).select("item_id", F.expr(
+    out = words.where(F.size("__w") >= shingle).select(F.xxhash64(F.col("item_id").isNull(), "item_id", "__w").alias("item"), "item_id", F.expr(
         f"array_distinct(transform(sequence(0, greatest(size(__w) - {shingle}, 0)), "
         f"i -> array_join(slice(__w, i + 1, {shingle}), ' ')))"
     ).alias("shingles"))
@@ -56,9 +57,11 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     equal texts are reported once, further columns are left out.
     """
     found = sketches(items, shingle=shingle, containment=containment)
-    rows = found.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()[0]
+    # what a block broadcasts: sketch hashes, and the shingles that verify a hit
+    size = F.size("sketch") + F.aggregate("shingles", F.lit(0), lambda n, x: n + F.octet_length(x)) / 16
+    rows = int(found.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
     blocks = max(1, -(-rows // sketch_rows))
-    return _union([_search(docs, found.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), doc_id, text,
+    return _union([_search(docs, found.where(F.pmod("item", F.lit(blocks)) == b), doc_id, text,
                            shingle, containment) for b in range(blocks)])
 
 
@@ -85,11 +88,11 @@ def _search(docs: DataFrame, found: DataFrame, doc_id: str, text: str, shingle:
     # explode_outer, and all conditions after it: a condition before would be moved to the scan
     # and compute words and hashes there once more
     hits = d.select("doc_id", "__w", "__n", F.explode_outer("__h").alias("h")).where(F.col("h") <= bound)
-    probe = found.select("item_id", F.explode("sketch").alias("h"))
-    exact = found.select("item_id", "shingles", "n_item")
+    probe = found.select("item", F.explode("sketch").alias("h"))
+    exact = found.select("item", "item_id", "shingles", "n_item")
     text_run = f"transform(sequence(0, greatest(__n, 1) - 1), i -> array_join(slice(__w, i + 1, {shingle}), ' '))"
     return (hits.join(F.broadcast(probe), "h")
-            .join(F.broadcast(exact), "item_id")
+            .join(F.broadcast(exact), "item")
             .withColumn("n_shared", F.expr(f"size(array_intersect(shingles, {text_run}))"))
             .where(F.col("n_shared") >= F.lit(containment) * F.col("n_item") - 1e-9)
             .select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"),

@@ -8,6 +8,7 @@ read; only piece descriptions (no ids) are shuffled, to their group.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,7 +39,9 @@ class WordIds:
     """Token ids of texts, word by word.
 
     The tokenizer drops white space before it merges, so no id spans two words
-    and the ids of a text are its words' ids one after the other.
+    and the ids of a text are its words' ids one after the other.  Its added
+    tokens (such as an end of text) are matched in the text as it stands, before
+    case is folded: they cut the text, and what lies between them is words.
     """
 
     def __init__(self, path: str):
@@ -46,16 +49,24 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = {t.content.encode(): struct.pack("<I", i) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + b")") if added else None
+        self.added_ids = added
+        # the words between them: a word that becomes an added token by folding is none
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text.  The tokenizer folds case, so A-Z may be folded first."""
-        split = [t.lower().split() for t in texts]
-        self.learn(set().union(*split))
+        cut = [self.added.split(t) if self.added and self.added.search(t) else [t] for t in texts]
+        split = [[p.lower().split() for p in parts[::2]] for parts in cut]
+        self.learn(set().union(*[words for parts in split for words in parts]))
         get = self.memo.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        for parts, words in zip(cut, split):
+            out = b"".join(map(get, words[0]))
+            for token, more in zip(parts[1::2], words[1:]):
+                out += self.added_ids[token] + b"".join(map(get, more))
+            yield out
 
     def learn(self, words: set[bytes]) -> None:
         """Have the ids of all ``words`` in the memo.
@@ -98,7 +109,8 @@ def pieces(df: DataFrame, text: str = "text", tokenizer: str | None = None, leng
 
     Returns one row per piece: the ``keep`` columns, then start, length,
     ids_crc32 and doc_tokens, and the ids themselves with ``with_ids``.  A null
-    text counts as empty: its one piece is the end id.
+    text counts as empty: its one piece is the end id.  A very long text is
+    encoded whole, in one task, and gives as many pieces as it needs.
     """
     path = tokenizer or default_tokenizer()
     names = list(keep)

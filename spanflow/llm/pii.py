@@ -280,8 +280,10 @@ def replace_entities(docs: DataFrame, key: bytes, stage: Callable[[DataFrame], D
     frame to shared storage and returns what it wrote.
     """
     out = [c for c in docs.columns if c not in (text, "n_replaced")]
-    keyed = docs.select(*out, F.col(text).cast("string").alias("__text"),
-                        *[k.alias(f"__{n}") for n, k in zip(("k1", "k2"), text_key(F.col(text)))])
+    # the caller's columns by number, so that no name of theirs meets one used here
+    mine = [f"c{i}" for i in range(len(out))]
+    keyed = docs.select(*[F.col(f"`{c}`").alias(m) for c, m in zip(out, mine)], F.col(text).cast("string").alias("text"),
+                        *[k.alias(f"text_{n}") for n, k in zip(("k1", "k2"), text_key(F.col(text)))])
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,17 +296,17 @@ def replace_entities(docs: DataFrame, key: bytes, stage: Callable[[DataFrame], D
                     [pa.array(c, t) for c, t in zip(zip(*sorted(rows)), (pa.int64(), pa.int32(), pa.string(), pa.string()))],
                     names=["k1", "k2", "kind", "entity"])
 
-    seen = stage(keyed.select("__k1", "__k2", "__text").mapInArrow(
+    seen = stage(keyed.select("text_k1", "text_k2", "text").mapInArrow(
         occurrences, "k1 long, k2 int, kind string, entity string"))
     late = _unresolved(seen.select("kind", "entity").distinct(), key, stage)
     if late is None:
-        source = keyed.withColumn("__late", F.lit(None).cast("map<string,int>"))
+        source = keyed.withColumn("late", F.lit(None).cast("map<string,int>"))
     else:
         later = (seen.join(late, ["kind", "entity"]).select("k1", "k2", F.concat_ws("\x1f", "kind", "entity").alias("e"), "attempt")
                  .distinct().groupBy("k1", "k2")
-                 .agg(F.map_from_entries(F.collect_list(F.struct("e", "attempt"))).alias("__late")))
-        source = keyed.join(later, (keyed["__k1"] == later["k1"]) & (keyed["__k2"] == later["k2"]), "left")
-    source = source.select(*out, "__text", "__late")
+                 .agg(F.map_from_entries(F.collect_list(F.struct("e", "attempt"))).alias("late")))
+        source = keyed.join(stage(later), (F.col("text_k1") == F.col("k1")) & (F.col("text_k2") == F.col("k2")), "left")
+    source = source.select(*mine, "text", "late")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,7 +321,7 @@ def replace_entities(docs: DataFrame, key: bytes, stage: Callable[[DataFrame], D
                     [part.column(i) for i in range(len(out))] + [pa.array(texts, pa.string()), pa.array(counts, pa.int64())],
                     names=[*out, text, "n_replaced"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-2])
+    schema = "".join(f"`{c}` {f.dataType.simpleString()}, " for c, f in zip(out, source.schema.fields))
     return source.mapInArrow(run, schema + f"`{text}` string, n_replaced long")
 
 

@@ -64,21 +64,23 @@ def shard(df: DataFrame, key: list[Column], size: Column, order: list[Column], s
 
     ``size`` is the load of a row.  Rows with equal keys share an arc, nulls in
     the key are values like any other, and an empty input gives an empty result.
-    Only one row per arc, at most ``2**arc_bits``, reaches the driver and is
-    broadcast again.
+    Columns of ``df`` named shard or slot are replaced; any other name is kept,
+    whatever it is.  Only one row per arc, at most ``2**arc_bits``, reaches the
+    driver and is broadcast again.
     """
     spark = df.sparkSession
+    kept = [c for c in df.columns if c not in ("shard", "slot")]
     arc = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 64 - arc_bits)
-    rows = df.withColumns({"__arc": arc, "__size": size})
+    rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], arc.alias("arc"), size.alias("size"),
+                     *[c.alias(f"o{i}") for i, c in enumerate(order)])
     sums = {r[0]: (r[1], r[2]) for r in
-            rows.groupBy("__arc").agg(F.sum("__size").cast("long"), F.count("*")).collect()}
+            rows.groupBy("arc").agg(F.sum("size").cast("long"), F.count("*")).collect()}
     where = place({a: s for a, (s, _) in sums.items()}, shards, capacity, arc_bits, seed=seed)
     base, table = [0] * shards, []
     for a in sorted(sums):
         table.append((a, where[a], base[where[a]]))
         base[where[a]] += sums[a][1]
-    arcs = spark.createDataFrame(table, "__arc long, shard int, __base long")
-    number = F.row_number().over(Window.partitionBy("__arc").orderBy(*order))
-    return (rows.withColumn("__n", number).join(F.broadcast(arcs), "__arc")
-            .withColumn("slot", F.col("__base") + F.col("__n") - 1)
-            .drop("__arc", "__size", "__base", "__n"))
+    arcs = spark.createDataFrame(table, "arc long, shard int, base long")
+    number = F.row_number().over(Window.partitionBy("arc").orderBy(*[f"o{i}" for i in range(len(order))]))
+    return rows.withColumn("n", number).join(F.broadcast(arcs), "arc").select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "shard", (F.col("base") + F.col("n") - 1).alias("slot"))

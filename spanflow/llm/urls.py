@@ -134,17 +134,19 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, scorer: Scorer =
 
     A null URL is judged as an empty one.  Every distinct URL is scored once and
     joined back.  Ties at the cutoff are allowed.  ``stage`` may write the
-    scores and return what it wrote.
+    scores and return what it wrote.  Columns of ``pages`` with one of the five
+    names are replaced; any other name is kept, whatever it is.
     """
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
-    host, path = host_path(F.col(url))
-    judged = apply_rules(pages.select(*names).withColumns({"host": host, "path": path}), rules)
-    judged = judged.withColumn("__url", F.coalesce(F.col(url), F.lit("")))
-    urls = judged.select(F.col("__url").alias("url"), "rule_verdict").distinct()
+    host, path = host_path(F.col("url"))
+    # the caller's columns by number, so that no name of theirs meets one used here
+    rows = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce(F.col(url), F.lit("")).alias("url"))
+    judged = apply_rules(rows.withColumns({"host": host, "path": path}), rules)
+    urls = judged.select("url", "rule_verdict").distinct()
     scores = stage(score_urls(urls, scorer))
-    open_urls = scores.where("rule_verdict IS NULL").select(F.col("url").alias("__url"), "score")
+    open_urls = scores.where("rule_verdict IS NULL").select(F.col("url").alias("scored"), "score")
     least = cutoff(scores, scorer.false_block)
     by_score = F.when(F.col("score") < F.col("cutoff"), F.lit("block")).otherwise(F.lit("allow"))
-    return (judged.join(open_urls, "__url", "left").join(F.broadcast(least))  # least is one row
-            .withColumn("verdict", F.coalesce("rule_verdict", by_score))
-            .drop("__url", "rule_verdict", "cutoff"))
+    return (judged.join(open_urls, judged["url"] == open_urls["scored"], "left").join(F.broadcast(least))  # least is one row
+            .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "host", "path", "rule", "score",
+                    F.coalesce("rule_verdict", by_score).alias("verdict")))

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from spanflow.llm import (decontamination, formatting, lm, packing, pii, quality, queries, sharding, similarity,
                           substrings, urls)
@@ -187,7 +188,10 @@ def test_surrogates_where_a_format_has_none_left(spark):
     rows = [(i, f"from 192.168.{i // 8}.{i % 8} on") for i in range(64)] + [(100, masks), (101, "mail ___@___.de now")]
     rows += [(200 + i, f"token=-----{i} x") for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    out = {r["doc_id"]: r["text"] for r in pii.replace_entities(df, b"k", stage).collect()}
+    clash = ["k1", "k2", "late", "text_k1", "c0", "kind", "entity", "attempt", "a.b"]  # names the operator uses itself
+    done = pii.replace_entities(df.select("*", *[F.lit(c).alias(c) for c in clash]), b"k", stage).collect()
+    assert set(done[0].__fields__) == {*df.columns, *clash, "n_replaced"} and all(r[c] == c for r in done for c in clash)
+    out = {r["doc_id"]: r["text"] for r in done}
     old = [t.split()[1] if i < 200 else t.split()[0] for i, t in rows if i != 100]
     new = [out[i].split()[1] if i < 200 else out[i].split()[0] for i, _ in rows if i != 100]
     assert len(set(new)) == len(new) == 75 and not set(old) & set(new) and out[100] == masks
@@ -205,7 +209,10 @@ def test_url_rules_and_ratio(spark):
     rows += [(200 + i, f"http://cheap-pills{i}.com/de/{i}") for i in range(60)]
     rows += [(300, "http://cheap-pills7.net/de/7"), (301, "http://good7.net/page/7")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, score string")
-    got = {r["page_id"]: r for r in urls.judge_urls(df).collect()}
+    clash = ["cutoff", "scored", "rule_verdict", "c0", "__url", "held"]
+    judged = urls.judge_urls(df.select("*", *[F.lit(c).alias(c) for c in clash])).collect()
+    assert all(r[c] == c for r in judged for c in clash) and isinstance(judged[0]["score"], (float, type(None)))
+    got = {r["page_id"]: r for r in judged}
     assert [got[i]["rule"] for i in range(1, 11)] == [
         "example.org/es/", "example.org/en/1", "com/fr/", "com/de/", None, None, None, None, None, "org/"]
     assert (got[1]["host"], got[1]["path"]) == ("a.example.org", "/es/1") and got[5]["path"] == ""
@@ -246,7 +253,10 @@ def test_gram_ratio_equals_a_plain_model(spark):
 
 def test_sharding_balances_and_moves_little(docs, empty):
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
-    rows = sharding.shard(docs, [F.col("doc_id"), F.col("text")], size, [F.col("doc_id")], 4).collect()
+    clash = ["shard", "slot", "arc", "size", "o0", "n", "base", "c0", "__arc"]
+    more = docs.select("*", *[F.lit(c).alias(c) for c in clash])
+    rows = sharding.shard(more, [F.col("doc_id"), F.col("text")], size, [F.col("doc_id")], 4).collect()
+    assert all(r[c] == c for r in rows for c in clash[2:]) and {type(r["shard"]) for r in rows} == {int}
     slots = collections.defaultdict(list)
     for r in rows:
         slots[r["shard"]].append(r["slot"])
@@ -259,8 +269,12 @@ def test_sharding_balances_and_moves_little(docs, empty):
     for a, s in eight.items():
         by[s] += loads[a]
     assert max(by.values()) <= 1.01 * sum(loads.values()) / 8 and min(by.values()) >= 0.93 * sum(loads.values()) / 8
-    moved = sum(loads[a] for a in loads if eight[a] != nine[a]) / sum(loads.values())
-    assert moved < 0.45  # 1/9 of the load has to; a fresh hash would move 8/9
+    # with the registered query's arcs: 1/9 of the load has to move, and nearly all of it to the new shard
+    loads = {a: 100 for a in range(1 << sharding.ARC_BITS)}
+    eight, nine = (sharding.place(loads, n) for n in (8, 9))
+    moved = [a for a in loads if eight[a] != nine[a]]
+    assert len(moved) / len(loads) < 1 / 9 + 0.02
+    assert sum(nine[a] != 8 for a in moved) / len(loads) < 0.02
 
 
 def test_lm_scores(docs, empty):
@@ -294,7 +308,7 @@ def test_class_probabilities_are_normalised_and_training_helps():
 def test_packing_is_an_exact_cut(docs, empty):
     cut = packing.pieces(docs, keep=("doc_id", "n_words"), with_ids=True, length=256)
     rows = packing.pack(cut, docs.count(), length=256, group_rows=20).collect()
-    coder = packing.WordIds(packing.default_tokenizer()).tokenizer
+    coder = Tokenizer.from_file(packing.default_tokenizer())
     want = collections.Counter()
     for i, t, *_ in corpus():
         ids = coder.encode(t or "", add_special_tokens=False).ids + [2]
@@ -315,6 +329,16 @@ def test_packing_is_an_exact_cut(docs, empty):
     assert packing.pack(packing.pieces(empty), 0).count() == 0
 
 
+def test_added_tokens_are_encoded_as_the_tokenizer_does(spark):
+    coder = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|><|endoftext|>", "A<|ENDOFTEXT|>b", "<|endoftext", "|><|endoftext|>.", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in packing.pieces(df, with_ids=True).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [*coder.encode(t, add_special_tokens=False).ids, 2], t
+    assert got[0] == [320, 49407, 321, 2]
+
+
 def test_first_fit_equals_a_scan():
     sizes = sorted(random.Random(3).choices(range(1, 100), k=300), reverse=True)
     free, want = [], []
@@ -330,7 +354,8 @@ def test_first_fit_equals_a_scan():
 def test_contaminated_equals_exact_containment(spark, docs, empty):
     texts = {r[0]: r[1] for r in corpus()}
     items = [(1, " ".join(texts[50].split()[5:45])), (2, " ".join(texts[57].split()[1000:1012])), (3, "too short"), (4, None),
-             (5, " ".join(texts[7].split()[:30]) + " and more of it"), (5, " ".join(texts[7].split()[:30]) + " and more of it")]
+             (5, " ".join(texts[7].split()[:30]) + " and more of it"), (5, " ".join(texts[7].split()[:30]) + " and more of it"),
+             (None, " ".join(texts[10].split()[:20])), (5, " ".join(texts[50].split()[10:40]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = set()
     for i, t, *_ in corpus():
