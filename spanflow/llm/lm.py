@@ -12,7 +12,10 @@ in the training documents, and one word more stands for all unknown ones.  A
 word that is its own class has share 1.  ``r`` is the sum over the context
 positions of C[i] * R[word], a diagonal log-bilinear predictor; Q, b, C and R are
 trained by noise-contrastive estimation on every training document, one local
-model for each input partition, averaged by their numbers of tokens.
+model for each shard of the documents, averaged by their numbers of tokens.
+Shards, and the order within them, follow from hashes of ids and texts, and their
+number from the number of training tokens: how the input is split, or a task run
+again, does not change a score.
 
 All counts are exact.  Counts of the frequent words travel with the tasks, which
 is bounded by ``HEAD``; the others are joined by shuffle.
@@ -40,8 +43,9 @@ DIM = 24
 #: Noise samples per batch, shared by its positions; positions per batch.
 NOISE = 64
 BATCH = 4096
-#: A partition with few tokens is passed over again until it has given so many updates.
-LEAST_UPDATES = 300
+#: Training tokens a shard has on average, and documents handled at once.
+SHARD_TOKENS = 1 << 21
+ROWS = 256
 RATE = 0.15
 
 END_HASH = np.uint64(0x2545F4914F6CDD1D)
@@ -214,50 +218,72 @@ def train(model: dict, context: np.ndarray, target: np.ndarray, noise_log_p: np.
         model["R"][at] += RATE * sums / np.sqrt(state["R"][at] + 1e-8)
 
 
-def train_model(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """The average, weighted by tokens, of models trained by NCE on each input partition.
-
-    All start from one model.  Parameters are averaged by Spark in rows of one
-    parameter vector each; only the average, of a fixed size, reaches the driver.
+def shard_rows(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[tuple[int, pa.Array]]:
+    """(shard, texts) of at most ``rows`` rows of one shard, from a stream sorted by shard; Arrow's batches leave no trace."""
+    shard, held, n = None, [], 0
+    for batch in batches:
+        at = batch.column(0).to_numpy()
+        edges = np.r_[0, np.flatnonzero(at[1:] != at[:-1]) + 1, len(at)]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if a == b:
+                continue
+            if at[a] != shard:
+                if n:
+                    yield shard, pa.concat_arrays(held)
+                shard, held, n = int(at[a]), [], 0
+            while a < b:
+                take = min(b - a, rows - n)
+                held.append(batch.column(2).slice(a, take))
+                a, n = a + take, n + take
+                if n == rows:
+                    yield shard, pa.concat_arrays(held)
+                    held, n = [], 0
+    if n:
+        yield shard, pa.concat_arrays(held)
+
+
+def train_model(docs: DataFrame, vocabulary: Vocabulary, tokens: int, shard_tokens: int = SHARD_TOKENS) -> dict[str, np.ndarray]:
+    """The average, weighted by tokens, of models trained by NCE on each shard of the ``tokens`` training tokens.
+
+    All start from one model and pass over their shard once.  Parameters are
+    averaged by Spark in rows of one parameter vector each; only the average, of
+    a fixed size, reaches the driver.
     """
     spark = docs.sparkSession
     vocab = spark.sparkContext.broadcast(vocabulary)
 
+    def parameters(model: dict, tokens: int) -> pa.RecordBatch:
+        names, rows, values = [], [], []
+        for name, v in model.items():
+            v = v.reshape(len(v), -1)
+            names += [name] * len(v)
+            rows += range(len(v))
+            values += list(v.astype(np.float64) * tokens)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names), pa.array(rows, pa.int32()), pa.array(values, pa.list_(pa.float64())),
+             pa.array([tokens] * len(rows), pa.int64())], names=["name", "row", "v", "tokens"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = vocab.value
-        model = new_model(voc)
-        state = {k: np.full(v.shape, 1e-6, np.float32) for k, v in model.items()}
-        tokens, updates, held = 0, 0, []
-        for batch in batches:
-            for _, _, words in blocks(batch.column(0), lower=True):
+        voc, at, model, state, tokens = vocab.value, None, None, None, 0
+        for shard, texts in shard_rows(batches):
+            if shard != at:
+                if tokens:
+                    yield parameters(model, tokens)
+                at, model, tokens = shard, new_model(voc), 0
+                state = {k: np.full(v.shape, 1e-6, np.float32) for k, v in model.items()}
+            for _, _, words in blocks(texts, lower=True):
                 h, tail, rows = token_hashes(words)
-                if not len(h):
-                    continue
-                _, _, cls, ctx = voc.look_up(h, tail)
-                context = contexts_of(ctx, rows, voc.contexts - 1)
-                train(model, context, cls, voc.bias, state, seed=tokens)
-                tokens += len(h)
-                updates += -(-len(h) // BATCH)
-                if updates < LEAST_UPDATES:
-                    held.append((context, cls))
-        again = 1
-        while held and updates < LEAST_UPDATES:
-            for context, cls in held:
-                train(model, context, cls, voc.bias, state, seed=again)
-                updates += -(-len(cls) // BATCH)
-                again += 1
+                if len(h):
+                    _, _, cls, ctx = voc.look_up(h, tail)
+                    train(model, contexts_of(ctx, rows, voc.contexts - 1), cls, voc.bias, state, seed=tokens)
+                    tokens += len(h)
         if tokens:
-            names, rows, values = [], [], []
-            for name, v in model.items():
-                v = v.reshape(len(v), -1)
-                names += [name] * len(v)
-                rows += range(len(v))
-                values += list(v.astype(np.float64) * tokens)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array(rows, pa.int32()), pa.array(values, pa.list_(pa.float64())),
-                 pa.array([tokens] * len(rows), pa.int64())], names=["name", "row", "v", "tokens"])
-
-    parts = docs.where("NOT held").select("text").mapInArrow(run, "name string, row int, v array<double>, tokens long")
+            yield parameters(model, tokens)
+
+    key = F.xxhash64("doc_id", *text_key(F.col("text")))
+    dealt = docs.where("NOT held").select(F.pmod(key, F.lit(max(1, -(-tokens // shard_tokens)))).cast("int").alias("shard"),
+                                          key.alias("key"), "text").repartition("shard").sortWithinPartitions("shard", "key")
+    parts = dealt.mapInArrow(run, "name string, row int, v array<double>, tokens long")
     mean = (parts.groupBy("name", "row").agg(
         *[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(DIM)], F.sum("tokens").alias("tokens"))).collect()
     model = new_model(vocabulary)
@@ -306,7 +332,7 @@ def score_documents(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], do
              .groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     vocabulary = Vocabulary(head, tails)
-    model = train_model(source, vocabulary)
+    model = train_model(source, vocabulary, int(total["n"]))
     shared = spark.sparkContext.broadcast((vocabulary, model))
     keyed = source.select("doc_id", "held", *text_key(F.col("text")), "text")
 

@@ -290,6 +290,16 @@ def test_lm_scores(docs, empty):
     assert lm.score_documents(empty, stage).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_how_the_input_is_split(docs, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(lm.train_model, "__defaults__", (500,))
+    monkeypatch.setattr(lm.shard_rows, "__defaults__", (3,))
+    one, many = (sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score_documents(d, stage).collect())
+                 for d in (docs.coalesce(1), docs.repartition(13)))
+    assert [r[:2] for r in one] == [r[:2] for r in many]
+    assert [r[2] for r in one] == pytest.approx([r[2] for r in many], rel=1e-6)  # single precision
+
+
 def test_class_probabilities_are_normalised_and_training_helps():
     rng = np.random.default_rng(0)
     voc = lm.Vocabulary([(h, 100 - h) for h in range(1, 90)], {t: (50, 10) for t in range(lm.TAIL)})
