@@ -11,10 +11,11 @@ SF_MID = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from spanflow.session import get_session
     s = get_session("local[4]", shuffle_partitions=4,
-                    conf={"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+                    conf={"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+                          "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
 

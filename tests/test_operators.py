@@ -1,6 +1,8 @@
 """Unit tests of the stand-alone operators."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from spanflow.functions.timefn import epoch_us, half_day, local_time, weekday
 from spanflow.operators import features as feat
 from spanflow.operators.commands import by_category, catalogue_frame, category_counts, count_commands
 from spanflow.operators.islands import change_groups, consecutive_groups
-from spanflow.operators.sampling import complement, stratified
+from spanflow.operators.quantiles import exact_quantiles
+from spanflow.operators.sampling import complement, stratified, with_sample
 from spanflow.operators.sessionize import assign_runs, time_gap
 from spanflow.operators.sequences import end_offset, ordered_concat
 from spanflow.operators.spans import span_flags, span_rows
@@ -134,6 +137,35 @@ def test_commands_long_and_wide_agree(spark):
             for r in runs.withColumns(category_counts(rows)).collect()}
     assert long == {(1, "eclipse"): (2, 1), (1, "vscode"): (1, 1), (2, "netbeans"): (0, 0)}
     assert wide == long
+    # a catalogue in several pieces, and only commands that occur
+    pieces = count_commands(runs, catalogue_frame(spark, rows), piece_bytes=120)
+    assert sorted(map(tuple, pieces.collect())) == sorted(map(tuple, count_commands(runs, catalogue_frame(spark, rows)).collect()))
+    assert pieces.where("n = 0").isEmpty() and pieces.count() == 3
+    assert "Join" not in count_commands(runs, catalogue_frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_quantiles_equal_sorted_values(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, 0.0, rnd.uniform(0, 9), rnd.expovariate(0.01)])) for _ in range(700)]
+    rows += [("same", 5.0)] * 30 + [("none", None)] * 3 + [("one", -1.5)]
+    shares = {"least": 0.0, "q1": 0.25, "half": 0.5, "q99": 0.99, "most": 1.0}
+    df = spark.createDataFrame(rows, "g string, v double")
+    for slices in (1024, 3):
+        got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", shares, slices).collect()}
+        assert set(got) == {g for g, _ in rows}
+        for g, r in got.items():
+            v = sorted(x for h, x in rows if h == g and x is not None)
+            assert r["n_values"] == len(v)
+            assert [r[n] for n in shares] == [v[max(math.ceil(q * len(v)), 1) - 1] if v else None for q in shares.values()]
+
+
+def test_sample_column_with_null_strata_and_small_ones(spark):
+    rows = [(i, None if i % 5 == 0 else "ab"[i % 2]) for i in range(101)] + [(500, "lonely")]
+    df = spark.createDataFrame(rows, "id long, s string")
+    got = with_sample(df, ["s"], ["id"], 0.5, 1).collect()
+    assert sorted(r["id"] for r in got) == sorted(i for i, _ in rows)
+    n, k = Counter(r["s"] for r in got), Counter(r["s"] for r in got if r["in_sample"])
+    assert all(k[s] == round(0.5 * n[s]) for s in n) and k["lonely"] == 0
 
 
 def test_stratified_is_exact_and_complement_partitions(spark):
