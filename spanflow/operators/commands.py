@@ -5,8 +5,8 @@ regex of a shortcut in the run string and the task categories it reduces
 (``Delete``, ``Navigation`` or both).  It travels as one constant map from editor
 to its patterns, in pieces of a checked size, so runs are counted where they are:
 no join and no shuffle on ``editor``, which has few values and would skew.
-Only commands that occur make a row.  Category totals are a conditional
-aggregation, so no column is ever named after a data value.
+Commands that do not occur make a row on request only.  Category totals are a
+conditional aggregation, so no column is ever named after a data value.
 """
 
 from __future__ import annotations
@@ -44,9 +44,9 @@ def _pieces(catalogue: DataFrame, piece_bytes: int) -> list[dict[str, list[dict]
 
 
 def count_commands(runs: DataFrame, catalogue: DataFrame, keys: Sequence[str] = RUN_KEYS,
-                   text: str = "key_string", piece_bytes: int = 4 << 20) -> DataFrame:
-    """One row per (run, command of the run's editor) that occurs: ``n`` = non-overlapping
-    matches of the command pattern in the run string.
+                   text: str = "key_string", piece_bytes: int = 4 << 20, zeros: bool = False) -> DataFrame:
+    """One row per (run, command of the run's editor) that occurs, or with ``zeros`` per any:
+    ``n`` = non-overlapping matches of the command pattern in the run string.
 
     A catalogue of more than ``piece_bytes`` is counted in several passes over the runs.
     """
@@ -54,8 +54,8 @@ def count_commands(runs: DataFrame, catalogue: DataFrame, keys: Sequence[str] =
     for piece in _pieces(catalogue, piece_bytes):
         commands = F.from_json(F.lit(json.dumps(piece)), f"map<string, array<{_ENTRY}>>")
         x = runs.select(*keys, F.col(text).alias("_text"), commands[F.col("editor")].alias("_commands"))
-        found = F.expr("filter(transform(_commands, c -> struct(c.command_id, c.reduces, regexp_count(_text, c.pattern) AS n)), c -> c.n > 0)")
-        part = x.select(*keys, F.explode(found).alias("_c")).select(*keys, "_c.command_id", "_c.reduces", "_c.n")
+        found = "transform(_commands, c -> struct(c.command_id, c.reduces, regexp_count(_text, c.pattern) AS n))"
+        part = x.select(*keys, F.explode(F.expr(found if zeros else f"filter({found}, c -> c.n > 0)")).alias("_c")).select(*keys, "_c.command_id", "_c.reduces", "_c.n")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -331,11 +331,11 @@ def round_half_even_q(spark, sf_dir):
 # --- commands and run features ----------------------------------------------------
 
 @register("command_counts", "WITH " + oracle.runs_ctes() + runfeatures.command_sql_ctes() + """
-    SELECT user_id, editor, task_runs, command_id, reduces, n FROM cc WHERE n > 0""")
+    SELECT user_id, editor, task_runs, command_id, reduces, n FROM cc""")
 def command_counts_q(spark, sf_dir):
-    """Commands that occur in a run; those that do not are not rows."""
+    """Every run with every command of its editor, also those that do not occur (n = 0)."""
     runs = ordered_concat(cleaning.run_events(K(spark, sf_dir)))
-    return runfeatures.command_counts(spark, runs)
+    return runfeatures.command_counts(spark, runs, zeros=True)
 
 
 @register("commands_by_category", "WITH " + oracle.runs_ctes() + runfeatures.command_sql_ctes() + """

@@ -44,8 +44,8 @@ PEOPLE_SQL = """people AS (
       FROM customer)"""
 
 
-def command_counts(spark: SparkSession, runs: DataFrame) -> DataFrame:
-    return count_commands(runs, catalogue_frame(spark, COMMANDS))
+def command_counts(spark: SparkSession, runs: DataFrame, zeros: bool = False) -> DataFrame:
+    return count_commands(runs, catalogue_frame(spark, COMMANDS), zeros=zeros)
 
 
 def command_sql_ctes() -> str:

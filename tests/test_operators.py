@@ -18,7 +18,10 @@ from spanflow.operators.sampling import complement, stratified, with_sample
 from spanflow.operators.sessionize import assign_runs, time_gap
 from spanflow.operators.sequences import end_offset, ordered_concat
 from spanflow.operators.spans import span_flags, span_rows
-from spanflow.plans import cleaning
+from spanflow.plans import cleaning, runfeatures
+from spanflow.plans.keystream import load_key_events
+
+from conftest import SF_SMALL
 
 
 def test_classify_editor_first_match_wins(spark):
@@ -144,6 +147,24 @@ def test_commands_long_and_wide_agree(spark):
     assert "Join" not in count_commands(runs, catalogue_frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_command_counts_with_zeros_has_every_command_of_the_editor(spark):
+    rows = [("eclipse", "c1", "BSDBSU", "Delete"), ("eclipse", "c2", "ANDANU", "Navigation"), ("vscode", "c3", "MLUBSD", "Delete,Navigation")]
+    runs = spark.createDataFrame([(1, "eclipse", 1, "BSDBSUBSDBSU"), (1, "vscode", 2, "AND"), (2, "netbeans", 1, "BSDBSU")],
+                                 "user_id long, editor string, task_runs long, key_string string")
+    got = count_commands(runs, catalogue_frame(spark, rows), piece_bytes=120, zeros=True)
+    assert {(r["user_id"], r["editor"], r["command_id"], r["n"]) for r in got.collect()} == {
+        (1, "eclipse", "c1", 2), (1, "eclipse", "c2", 0), (1, "vscode", "c3", 0)}
+
+
+def test_command_counts_query_keeps_commands_that_do_not_occur(spark):
+    from spanflow.plans import catalog
+    got = catalog.QUERIES["command_counts"](spark, SF_SMALL)
+    assert not got.where("n = 0").isEmpty()
+    per_editor = Counter(ed for ed, *_ in runfeatures.COMMANDS)
+    runs = cleaning.run_table(load_key_events(spark, SF_SMALL)).groupBy("editor").count().collect()
+    assert got.count() == sum(r["count"] * per_editor[r["editor"]] for r in runs)
+
+
 def test_exact_quantiles_equal_sorted_values(spark):
     rnd = random.Random(8)
     rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, 0.0, rnd.uniform(0, 9), rnd.expovariate(0.01)])) for _ in range(700)]
