@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from spanflow.functions.metrics import FREE_US, excess_us, percentage, seconds
 from spanflow.functions.spans import PATTERNS, gap_strings, match_strings
 from spanflow.operators.islands import FAMILIES
+from spanflow.operators.partitions import spread
 from spanflow.operators.sequences import RUN_KEYS
 
 # Integer group codes inside the stream (cheaper to sort and compare than
@@ -42,7 +43,7 @@ def run_rows(ev: DataFrame, keys: Sequence[str] = RUN_KEYS, t: str = "t_us", tie
     ``key_string``, ``n_events``, ``first_us`` and ``last_us``."""
     evs = F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(tie).alias("seq"),
                                                 F.col(token).alias("tok"))))
-    r = ev.groupBy(*keys).agg(evs.alias("evs"), F.count(token).alias("n_events"))
+    r = spread(ev, *keys).groupBy(*keys).agg(evs.alias("evs"), F.count(token).alias("n_events"))
     return r.select(*keys, "evs",
                     F.expr("array_join(transform(evs, x -> x.tok), '')").alias("key_string"),
                     "n_events",

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanflow.operators.partitions import spread
+
 RUN_KEYS = ("user_id", "editor", "task_runs")
 
 
@@ -16,7 +18,7 @@ def end_offset(df: DataFrame, keys: Sequence[str] = RUN_KEYS, order: Sequence[st
     running sum of token lengths in run order, minus one."""
     w = (Window.partitionBy(*keys).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn(out, (F.sum(F.length(token)).over(w) - 1).cast("int"))
+    return spread(df, *keys).withColumn(out, (F.sum(F.length(token)).over(w) - 1).cast("int"))
 
 
 def ordered_concat(df: DataFrame, keys: Sequence[str] = RUN_KEYS, order: Sequence[str] = ("t_us", "seq"),
@@ -29,7 +31,7 @@ def ordered_concat(df: DataFrame, keys: Sequence[str] = RUN_KEYS, order: Sequenc
     keeps no order after a shuffle.
     """
     ordered = F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], F.col(token).alias("_tok"))))
-    return df.groupBy(*keys).agg(
+    return spread(df, *keys).groupBy(*keys).agg(
         F.array_join(F.transform(ordered, lambda x: x["_tok"]), sep).alias("key_string"),
         F.count(token).alias("n_events"),
         F.min(t).alias("first_us"),

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanflow.functions.metrics import RUN_GAP_US
+from spanflow.operators.partitions import spread
 
 SEGMENT = "_sf_segment"
 HOUR_US = 3_600_000_000
@@ -70,7 +71,7 @@ def assign_runs(df: DataFrame, keys: Sequence[str] = ("user_id", "editor"),
     x = df.withColumn(SEGMENT, segment_of(t, segment_us))
     for c in [*keys, SEGMENT]:  # what the join below asks of both sides, said before the exchange they share
         x = x.where(F.col(c).isNotNull())
-    x = x.repartition(*keys, SEGMENT)
+    x = spread(x.repartition(*keys, SEGMENT), *keys, SEGMENT)
     x = x.withColumn("_sf_prev", F.lag(t).over(w))
     x = x.withColumn("_sf_brk", F.coalesce((F.col(t) - F.col("_sf_prev") > gap_us).cast("int"), F.lit(0)))
     # the last event as a struct of every column: both uses of the exchange then read the same columns

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanflow.functions.spans import PATTERNS, gap_strings, match_strings
+from spanflow.operators.partitions import spread
 from spanflow.operators.sequences import RUN_KEYS
 
 
@@ -63,7 +64,7 @@ def span_flags(events: DataFrame, spans: DataFrame, keys: Sequence[str] = RUN_KE
     marks = marks.select(*keys, F.col("_m._pos").alias("_pos"), F.col("_m._kind").alias("_kind"),
                          *[F.when(F.col("pattern") == p, F.col("_m._v")).otherwise(F.lit(0)).alias(d)
                            for p, d in deltas.items()])
-    u = ev.unionByName(marks, allowMissingColumns=True)
+    u = spread(ev.unionByName(marks, allowMissingColumns=True), *keys)
     w = (Window.partitionBy(*keys).orderBy("_pos", "_kind")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     u = u.withColumns({f"in_{p}": F.sum(d).over(w) > 0 for p, d in deltas.items()})

@@ -2,7 +2,10 @@
 
 import random
 
+from spanflow.operators import partitions
+from spanflow.operators.sequences import end_offset, ordered_concat
 from spanflow.operators.sessionize import assign_runs
+from spanflow.operators.spans import span_flags, span_rows
 from spanflow.plans import cleaning
 from spanflow.plans.keystream import load_key_events
 
@@ -29,6 +32,22 @@ def test_summary_join_without_broadcast_gives_same_result(spark):
     assert with_bc == without_bc
 
 
+def test_partitions_of_the_run_stage_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """A task's share of the run-keyed sorts must not grow with the data: twice the files, twice the partitions, and the same rows."""
+    k = load_key_events(spark, SF_SMALL)
+    k.write.parquet(str(tmp_path / "one"))
+    k.withColumn("user_id", k.user_id + 10**6).write.parquet(str(tmp_path / "two"))
+    one, both = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "one"), str(tmp_path / "two"))
+    assert partitions.input_bytes(both) > 1.9 * partitions.input_bytes(one) > 0 == partitions.input_bytes(spark.range(3))
+    builds = {"stream": cleaning.episodes, "modular": lambda x: span_flags(end_offset(cleaning.run_events(x)), span_rows(ordered_concat(cleaning.run_events(x))))}
+    before = {name: _rows(build(one)) for name, build in builds.items()}
+    monkeypatch.setattr(partitions, "INPUT_BYTES", partitions.input_bytes(one) // 12)
+    for name, build in builds.items():
+        n, m = (build(x).rdd.getNumPartitions() for x in (one, both))
+        assert 12 <= n <= 13 and 23 <= m <= 26, (name, n, m)
+        assert _rows(build(one)) == before[name]
+
+
 def test_hot_user_sessionization(spark):
     """One user holds most events (and several editors' worth of buckets)."""
     rnd = random.Random(11)
