@@ -25,6 +25,9 @@ END_ID = 2
 GROUP_ROWS = 16_384
 #: Words whose ids a Python worker remembers; only a matter of speed.
 MEMO_WORDS = 1_600_000
+#: A word of one id, and the words that are encoded as one line with it between them.
+SEPARATOR = b"|"
+LINE_WORDS = 64
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -55,6 +58,7 @@ class WordIds:
         # the words between them: a word that becomes an added token by folding is none
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[bytes, bytes] = {}
+        self.separator = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids[0]
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text.  The tokenizer folds case, so A-Z may be folded first."""
@@ -72,25 +76,40 @@ class WordIds:
         """Have the ids of all ``words`` in the memo.
 
         Letters and the marks after them are different tokens, so a word of
-        letters with marks at its end is put together from the two.
+        letters with marks at its end is put together from the two.  Words are
+        encoded in lines with a separator between them, whose id no other word
+        without that character has; the others are encoded one by one.
         """
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         cut: dict[bytes, tuple[bytes, bytes]] = {}
         wanted = set()
         for word in words.difference(self.memo):
-            core = word.rstrip(b".,!?")
-            if core and len(core) < len(word) and core.decode().isalpha():
+            core = word.rstrip(b".,!?") if word[-1] in b".,!?" else b""
+            if core and core.decode().isalpha():
                 cut[word] = (core, word[len(core):])
                 wanted.update(cut[word])
             else:
                 wanted.add(word)
-        new = list(wanted.difference(self.memo))
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for w, ids in zip(new, (e.ids for e in encoded)):
-            self.memo[w] = struct.pack(f"<{len(ids)}I", *ids)
+        wanted = wanted.difference(self.memo)
+        new = [w for w in wanted if SEPARATOR not in w]
+        lines = [new[i:i + LINE_WORDS] for i in range(0, len(new), LINE_WORDS)]
+        found = self._encoded([b" | ".join(line) for line in lines])
+        memo = self.memo
+        for line, ids in zip(lines, found):
+            ends = np.flatnonzero(ids == self.separator).tolist()
+            buffer, start = ids.tobytes(), 0
+            for w, end in zip(line, [*ends, len(ids)], strict=True):
+                memo[w] = buffer[4 * start:4 * end]
+                start = end + 1
+        odd = [w for w in wanted if SEPARATOR in w]
+        memo.update(zip(odd, (ids.tobytes() for ids in self._encoded(odd))))
         for w, (core, marks) in cut.items():
-            self.memo[w] = self.memo[core] + self.memo[marks]
+            memo[w] = memo[core] + memo[marks]
+
+    def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        encoded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4") for e in encoded]
 
 
 #: Coders of this Python worker by tokenizer file; Spark gives a worker one task after another.

@@ -430,3 +430,20 @@ def test_quality_counts(docs, empty):
                   sum(t.count(x) for x in quality.SYMBOLS)))
     assert got == want
     assert quality.base_metrics(empty).count() == 0
+
+
+def test_words_are_encoded_in_lines_with_the_ids_of_each_word():
+    coder = packing.WordIds(packing.default_tokenizer())
+    plain, asked = coder.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(texts)
+            return plain.encode_batch_fast(texts, **kw)
+
+    words = {f"w{i}x{i * 7}".encode() for i in range(1000)} | {b"a|b", b"|", b"||", "\u00e9|!".encode(), b"plain.", "\u0301".encode()}
+    coder.tokenizer = Counting()
+    coder.learn(words)
+    assert len(asked) < 30  # not a text per word
+    for w in words:
+        assert np.frombuffer(coder.memo[w], "<u4").tolist() == plain.encode(w.decode(), add_special_tokens=False).ids
