@@ -43,6 +43,8 @@ DIM = 24
 #: Noise samples per batch, shared by its positions; positions per batch.
 NOISE = 64
 BATCH = 4096
+#: Tokens scored at once; their classes' scores stay in a core's cache.
+SCORED = 512
 #: Training tokens a shard has on average, and documents handled at once.
 SHARD_TOKENS = 1 << 21
 ROWS = 256
@@ -179,14 +181,16 @@ def train(model: dict, context: np.ndarray, target: np.ndarray, noise_log_p: np.
     p = np.exp(noise_log_p)
     cumulative = np.cumsum(p) / p.sum()
     order = rng.permutation(len(target))
+    hits = np.zeros((min(BATCH, len(order)), len(p)), np.float32)
+    small = np.uint16 if len(model["R"]) <= 1 << 16 else np.int64  # numbers of 16 bits are sorted by their digits
     for lo in range(0, len(order), BATCH):
         take = order[lo:lo + BATCH]
         ctx, y = context[take], target[take]
         noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(p) - 1)
-        words = np.take(model["R"], ctx.ravel(), axis=0).reshape(len(take), ORDER, DIM)
-        r = words[:, 0] * model["C"][0]
+        words = [np.take(model["R"], ctx[:, i], axis=0) for i in range(ORDER)]
+        r = words[0] * model["C"][0]
         for i in range(1, ORDER):
-            r += words[:, i] * model["C"][i]
+            r += words[i] * model["C"][i]
         ln_k = np.float32(np.log(NOISE))
         q_true, q_false = np.take(model["Q"], y, axis=0), model["Q"][noise]
         true = np.einsum("bd,bd->b", r, q_true) + (model["b"] - noise_log_p - ln_k)[y]
@@ -199,18 +203,20 @@ def train(model: dict, context: np.ndarray, target: np.ndarray, noise_log_p: np.
         g_false = np.divide(-1, false, out=false)  # - sigmoid
         n = np.float32(len(take))
         g_r = g_true[:, None] * q_true + g_false @ q_false
-        hit = np.zeros((len(take), len(p)), np.float32)
-        hit[np.arange(len(take)), y] = g_true
+        hit, at = hits[:len(take)], (np.arange(len(take)), y)
+        hit[at] = g_true
         noise_sum = np.zeros((len(p), NOISE), np.float32)
         noise_sum[noise, np.arange(NOISE)] = 1
         grads = {"Q": (hit.T @ r + noise_sum @ (g_false.T @ r)) / n,
                  "b": (hit.sum(0) + noise_sum @ g_false.sum(0)) / n,
-                 "C": np.stack([(words[:, i] * g_r).sum(0) for i in range(ORDER)]) / n}
-        flat, by = ctx.ravel(), (g_r[:, None, :] * model["C"]).reshape(-1, DIM)
-        sort = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.r_[True, flat[sort][1:] != flat[sort][:-1]])
-        at = flat[sort][first]
-        sums = np.add.reduceat(by[sort], first, axis=0) / n
+                 "C": np.stack([np.einsum("bd,bd->d", w, g_r) for w in words]) / n}
+        hit[at] = 0
+        by = (g_r[:, None, :] * model["C"]).reshape(-1, DIM)
+        sort = np.argsort(ctx.ravel().astype(small), kind="stable")
+        flat = ctx.ravel()[sort]
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        at = flat[first]
+        sums = np.add.reduceat(np.take(by, sort, axis=0), first, axis=0) / n
         for name, g in grads.items():
             state[name] += g * g
             model[name] += RATE * g / np.sqrt(state[name] + 1e-8)
@@ -298,8 +304,8 @@ def class_log10(model: dict, context: np.ndarray, target: np.ndarray) -> np.ndar
     """Normalised log10 P(class | context) of each token, by batched matrix products."""
     out = np.empty(len(target), dtype=np.float64)
     tables = [model["R"] * c for c in model["C"]]
-    for lo in range(0, len(target), BATCH):
-        ctx, y = context[lo:lo + BATCH], target[lo:lo + BATCH]
+    for lo in range(0, len(target), SCORED):
+        ctx, y = context[lo:lo + SCORED], target[lo:lo + SCORED]
         r = np.take(tables[0], ctx[:, 0], axis=0)
         for i in range(1, ORDER):
             r += np.take(tables[i], ctx[:, i], axis=0)

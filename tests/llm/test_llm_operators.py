@@ -315,6 +315,33 @@ def test_class_probabilities_are_normalised_and_training_helps():
     assert np.allclose((10 ** every).sum(0), 1, atol=1e-4)
 
 
+def test_a_step_of_training_is_noise_contrastive_estimation(monkeypatch):
+    """One batch against sums position by position; a word comes many times, as a context and as a class."""
+    monkeypatch.setattr(lm, "NOISE", 5)
+    rng = np.random.default_rng(3)
+    voc = lm.Vocabulary([(h, 100 - h) for h in range(1, 90)], {t: (50, 10) for t in range(lm.TAIL)})
+    ctx, y = rng.integers(0, 12, (40, lm.ORDER)).astype(np.int32), rng.integers(0, 9, 40)
+    model = lm.new_model(voc)
+    old, state = {k: v.astype(float) for k, v in model.items()}, {k: np.full(v.shape, 1e-6, np.float32) for k, v in model.items()}
+    lm.train(model, ctx, y, voc.bias, state, 7)
+    draw = np.random.default_rng(7)
+    p = np.exp(voc.bias)
+    draw.permutation(40)
+    noise = np.minimum(np.searchsorted(np.cumsum(p) / p.sum(), draw.random(5)), len(p) - 1)
+    slopes = {k: np.zeros(v.shape) for k, v in old.items()}
+    for c, own in zip(ctx, y):
+        r = sum(old["R"][w] * old["C"][i] for i, w in enumerate(c))
+        for k, cls in enumerate([own, *noise]):
+            g = (k == 0) - 1 / (1 + math.exp(-(r @ old["Q"][cls] + old["b"][cls] - voc.bias[cls] - math.log(5))))
+            slopes["Q"][cls] += g * r / 40
+            slopes["b"][cls] += g / 40
+            for i, w in enumerate(c):
+                slopes["C"][i] += g * old["Q"][cls] * old["R"][w] / 40
+                slopes["R"][w] += g * old["Q"][cls] * old["C"][i] / 40
+    for k, g in slopes.items():
+        assert np.allclose(model[k], old[k] + lm.RATE * g / np.sqrt(1e-6 + g * g + 1e-8), atol=2e-4)
+
+
 def test_packing_is_an_exact_cut(docs, empty):
     cut = packing.pieces(docs, keep=("doc_id", "n_words"), with_ids=True, length=256)
     rows = packing.pack(cut, docs.count(), length=256, group_rows=20).collect()
